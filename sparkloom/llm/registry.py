@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import minhash, toxicity
+from sparkloom.llm import minhash, tokencount, toxicity
 
-MODULES = [toxicity, minhash]
+MODULES = [toxicity, tokencount, minhash]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
