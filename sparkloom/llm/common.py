@@ -181,3 +181,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         mark = now
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(state.select("v", "v")).distinct()
+
+
+def text_blocks(column, chars: int = 1 << 21):
+    """Texts of an Arrow string column in blocks of about ``chars`` bytes.
+
+    Yields first row, last row + 1, the block's bytes with one space after each
+    text, word starts, ends and hashes in it, and where each row's words begin.
+    """
+    data, offsets = column_bytes(column)
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chars, "right")) - 1)
+        base = offsets[row]
+        count = stop - row
+        piece = np.full(int(offsets[stop] - base) + count, 32, np.uint8)
+        inner = np.ones(len(piece), bool)
+        inner[offsets[row + 1 : stop + 1] - base + np.arange(count)] = False
+        piece[inner] = data[base : offsets[stop]]
+        starts, ends, hashes = words_of(piece)
+        yield row, stop, piece, starts, ends, hashes, np.searchsorted(starts, offsets[row : stop + 1] - base + np.arange(count + 1))
+        row = stop
