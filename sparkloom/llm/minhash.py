@@ -26,6 +26,7 @@ class MinHash:
     percent: int = 80
     bands: int = 32
     rows: int = 5
+    rounds: int = 3
     log_universe: int = 20
     seed: int = 7
 
@@ -84,8 +85,8 @@ def describe(docs: DataFrame, p: MinHash) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
-    """Those pairs (a, b) whose whole sets reach the similarity: 100 * shared >= percent * union.
+def measure(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
+    """a, b, sim (shared over union of the whole sets) and linked (100 * shared >= percent * union) for each pair.
 
     Only texts named by a pair are shuffled; a hub's pairs arrive together, so its set is built once per run.
     """
@@ -95,40 +96,41 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
 
         last, hub = None, None
         for batch in batches:
-            keep = []
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            a, sim, linked = batch.column("a").to_pylist(), [], []
             left = batch.column("text_a")
             for k, other in enumerate(text_shingles(batch.column("text_b"), p.words)):
                 text = left[k]
                 if last is None or last[0] != a[k] or not last[1].equals(text):
                     last, hub = (a[k], text), next(text_shingles(pa.array([text.as_py()], pa.string()), p.words))
-                low, high = sorted((len(hub), len(other)))
-                if low and 100 * low >= p.percent * high:
-                    both = np.concatenate((hub, other))
-                    both.sort(kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if 100 * shared >= p.percent * (len(both) - shared):
-                        keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+                both = np.concatenate((hub, other))
+                both.sort(kind="stable")
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                sim.append(shared / max(1, len(both) - shared))
+                linked.append(len(both) > 0 and 100 * shared >= p.percent * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "sim", "linked"])
 
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.hint("merge").join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    out = pairs.hint("merge").join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, sim double, linked boolean")
+    return out.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("linked").alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets are one class; classes that share a band with a
-    class of smaller id are confirmed against the smallest of the bucket, then
-    against all classes of the bucket that are still in another component. That
-    finds all components that all pairs of the bucket would give, without
-    emitting pairs within a component.
+    Documents with equal sets are one class. Classes that share a band are
+    compared with the bucket's smallest id, then in further rounds with another
+    member of the bucket if they are still in another component, and at last with
+    all members of the bucket in other components. So the components are those
+    that all pairs of all buckets would give, but pairs within a component are
+    never made. The last step leaves out pairs whose similarities to the bucket's
+    first hub differ by more than a link allows: Jaccard distance is a metric.
 
     Null text counts as empty; empty texts and texts of white space have no
     shingles and link with nothing. A row with null doc_id links with nothing,
-    its component_id is null and kept is true. Repeated rows share a component; a doc_id with several texts
-    links what any of them links. An empty table gives an empty result.
+    its component_id is null and kept is true. Repeated rows share a component; a
+    doc_id with several texts links what any of them links. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -136,26 +138,34 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     described = scratch.table(describe(docs, p))
     some = described.where("doc_id is not null and n_shingles > 0")
     classes = scratch.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
-    members = classes.select(F.posexplode("bands").alias("band", "key"), "rep", F.col("n_shingles").alias("n")).select("key", "rep", "n")
+    members = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     shared = scratch.table(members.join(hubs, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
     fits = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
     texts = scratch.table(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    first = shared.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.table(confirm(first, texts, p))
-    parts = scratch.table(components(links, scratch))
-    rest = shared.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "hub", F.coalesce("component", "rep").alias("part"))
-    mixed = rest.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
-    open_ = scratch.table(rest.join(mixed, "key", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    more = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n")))
-        .where("x.rep <> x.hub")
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
+    pairs = shared.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = scratch.table(measure(pairs, texts, p))
+    state = scratch.table(
+        shared.drop("hub_n").join(tried.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "sim"), ["hub", "rep"], "left").withColumn("sim", F.when(F.col("rep") == F.col("hub"), 1.0).otherwise(F.col("sim")))
     )
-    found = scratch.table(confirm(more, texts, p))
-    parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), scratch)
+    links = tried.where("linked").select("a", "b")
+    parts = scratch.table(components(links, scratch))
+    for turn in range(p.rounds):
+        state = scratch.table(mixed_buckets(state, parts))
+        if turn < p.rounds - 1:
+            draw = F.xxhash64("key", "rep", F.lit(turn))
+            other = state.groupBy("key").agg(F.min_by(F.struct("rep", "n", "part"), draw).alias("x"))
+            pairs = state.join(other, "key").where((F.col("part") != F.col("x.part")) & fits(F.col("n"), F.col("x.n")) & (F.col("rep") != F.col("hub")) & (F.col("x.rep") != F.col("hub"))).select(F.col("x.rep").alias("a"), F.col("rep").alias("b"))
+        else:
+            x, y = state.alias("x"), state.alias("y")
+            far = F.abs(F.col("x.sim") - F.col("y.sim")) > 1 - p.percent / 100 + 1e-9
+            pairs = (
+                x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n")) & ~F.coalesce(far, F.lit(False)))
+                .where("x.rep <> x.hub and y.rep <> y.hub")
+                .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            )
+        found = scratch.table(measure(pairs.distinct(), texts, p))
+        parts = scratch.table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.where("linked").select("a", "b")), scratch))
     named = classes.select("set_a", "set_b", "n_shingles", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return (
         described.drop("bands")
@@ -165,6 +175,13 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     )
 
 
+def mixed_buckets(state: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with their component as ``part``."""
+    state = state.drop("part").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    mixed = state.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
+    return state.join(mixed, "key", "left_semi")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), MinHash(words=2))
 
