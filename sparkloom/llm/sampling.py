@@ -9,6 +9,7 @@ the text, so that a row gets the same pieces in any partition.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,7 +227,7 @@ def segment(docs: DataFrame, pieces: Pieces, p: Sampling = Sampling(), block: in
     taken whole, in blocks of about ``block`` bytes (a longer text is a block of its own).
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, p))  # as large as the vocabulary file
-    name = shared.id
+    name = uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa

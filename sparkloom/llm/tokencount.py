@@ -9,6 +9,7 @@ no piece is built.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def token_counts(docs: DataFrame, first, rest) -> DataFrame:
     Null and empty texts count 0; repeated rows and null ids are counted like any others.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast((first, rest))  # as large as the vocabulary file
-    name = vocabulary.id
+    name = uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
