@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mainhtml, minhash, sampling, suffixes, tokencount, toxicity, urls
+from sparkloom.llm import chat, mainhtml, minhash, sampling, suffixes, tokencount, toxicity, urls
 
-MODULES = [urls, toxicity, mainhtml, suffixes, sampling, tokencount, minhash]
+MODULES = [urls, toxicity, mainhtml, chat, suffixes, sampling, tokencount, minhash]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
