@@ -18,7 +18,7 @@ def null_if(x: Column, sentinel) -> Column:
 
 def list_items(text: Column, separator: str = ",") -> Column:
     """Distinct trimmed items of a list inside one string; null has none."""
-    return F.filter(F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), separator), F.trim)), lambda x: x != "")
+    return F.filter(F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), separator), lambda x: F.trim(x))), lambda x: x != "")
 
 
 def match_key(text: Column) -> Column:

@@ -26,7 +26,7 @@ def determinant(m: list[list[Column]]) -> Column:
 
 
 def fit_law(points: DataFrame, exponents_n: list[float], exponents_d: list[float], by: list[str] | None = None) -> DataFrame:
-    """Best E, A, B, a, b and rmse of E + A N**-a + B D**-b over a grid of exponents.
+    """Best E, A, B, alpha, beta and rmse of E + A N**-alpha + B D**-beta over a grid of exponents.
 
     For fixed exponents the law is linear, so sums of products settle it: each
     point meets the grid (a fixed list of exponents) and one aggregation a cell
@@ -37,11 +37,11 @@ def fit_law(points: DataFrame, exponents_n: list[float], exponents_d: list[float
     if "provenance" in points.columns:
         points = points.where("provenance <> 'formula'")
     points = points.where("N_params_B > 0 and D_tokens_B > 0 and val_loss is not null")
-    cells = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a in exponents_n for b in exponents_d])
-    rows = points.select(*by, F.explode(cells).alias("g"), "N_params_B", "D_tokens_B", F.col("val_loss").alias("y")).select(*by, "g.a", "g.b", F.pow("N_params_B", -F.col("g.a")).alias("u"), F.pow("D_tokens_B", -F.col("g.b")).alias("v"), "y")
-    s = rows.groupBy(*by, "a", "b").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in dict(u="u", v="v", y="y", uu="u*u", uv="u*v", vv="v*v", uy="u*y", vy="v*y", yy="y*y").items()])
+    cells = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a in exponents_n for b in exponents_d])
+    rows = points.select(*by, F.explode(cells).alias("g"), "N_params_B", "D_tokens_B", F.col("val_loss").alias("y")).select(*by, "g.alpha", "g.beta", F.pow("N_params_B", -F.col("g.alpha")).alias("u"), F.pow("D_tokens_B", -F.col("g.beta")).alias("v"), "y")
+    s = rows.groupBy(*by, "alpha", "beta").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in dict(u="u", v="v", y="y", uu="u*u", uv="u*v", vv="v*v", uy="u*y", vy="v*y", yy="y*y").items()])
     c = {k: F.col(f"s_{k}") for k in ("n", "u", "v", "y", "uu", "uv", "vv", "uy", "vy", "yy")}
-    s = s.select(*by, "a", "b", *[F.col(k).alias(f"s_{k}") for k in c])
+    s = s.select(*by, "alpha", "beta", *[F.col(k).alias(f"s_{k}") for k in c])
     left = [[c["n"], c["u"], c["v"]], [c["u"], c["uu"], c["uv"]], [c["v"], c["uv"], c["vv"]]]
     right = [c["y"], c["uy"], c["vy"]]
     whole = determinant(left)
@@ -49,7 +49,7 @@ def fit_law(points: DataFrame, exponents_n: list[float], exponents_d: list[float
     s = s.withColumn("E", F.try_divide(put(0), whole)).withColumn("A", F.try_divide(put(1), whole)).withColumn("B", F.try_divide(put(2), whole))
     sse = c["yy"] - F.col("E") * c["y"] - F.col("A") * c["uy"] - F.col("B") * c["vy"]
     s = s.where("E is not null").withColumn("rmse", F.sqrt(F.greatest(sse, F.lit(0.0)) / c["n"]))
-    best = F.min_by(F.struct("E", "A", "B", "a", "b", "rmse"), F.struct("rmse", "a", "b"))
+    best = F.min_by(F.struct("E", "A", "B", "alpha", "beta", "rmse"), F.struct("rmse", "alpha", "beta"))
     out = s.groupBy(*by).agg(best.alias("f"))
     return out.select(*by, "f.*")
 

@@ -30,7 +30,7 @@ def mixture_with_losses(mixture: DataFrame, losses: DataFrame) -> DataFrame:
 
 def own_domain_correlation(joined: DataFrame) -> DataFrame:
     """Correlation of a domain's weight with its own loss; domains without losses are left out."""
-    return joined.where("loss is not null").groupBy("domain").agg(F.corr("weight", "loss").alias("corr"), F.count("*").alias("n"))
+    return joined.where("loss is not null").groupBy("domain").agg(F.try_divide(F.covar_pop("weight", "loss"), F.stddev_pop("weight") * F.stddev_pop("loss")).alias("corr"), F.count("*").alias("n"))
 
 
 def map_domains(df: DataFrame, mapping: DataFrame, domain: str = "domain") -> DataFrame:

@@ -86,7 +86,7 @@ def read_xz_lines(spark: SparkSession, path: str, schema: T.StructType, block: i
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """model, task, metric, value (double, null for "N/A") of evaluation cards: Markdown with fenced JSON results."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    text = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     body = F.regexp_extract("value", r"(?s)## Latest results.*?```(?:python|json)?\s*(\{.*?\})\s*```", 1)
     tasks = F.from_json(F.get_json_object(body, "$.all"), T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
     rows = text.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("model"), F.explode(tasks).alias("task", "metrics"))
