@@ -240,8 +240,35 @@ def bucket_marks(groups: list, once: list, many: list, z: Sizes):
 
 
 #: Of a context: row number in its group, document, first window, windows, anchor's place from the first window.
-CONTEXT = np.dtype([("row", "<u4"), ("doc", "<i8"), ("start", "<i8"), ("windows", "u1"), ("anchor", "u1")])
-SPAN = np.dtype([("row", "<u4"), ("start", "<i8"), ("stop", "<i8")])
+CONTEXT = np.dtype([("row", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("windows", "u1"), ("anchor", "u1")])
+SPAN = np.dtype([("row", "<u4"), ("start", "<u4"), ("stop", "<u4")])
+
+
+def shrunk(data: bytes) -> bytes:
+    """Compressed, behind its length: contexts are most of what is shuffled, and repeat by nature."""
+    import pyarrow as pa
+
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def grown(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def columns_of(c: np.ndarray) -> bytes:
+    """Records field by field, which compresses better than row by row."""
+    return shrunk(b"".join(np.ascontiguousarray(c[f]).tobytes() for f in c.dtype.names))
+
+
+def records_of(data: bytes, kind: np.dtype) -> np.ndarray:
+    data = grown(data)
+    out, at = np.empty(len(data) // kind.itemsize, kind), 0
+    for f in kind.names:
+        out[f] = np.frombuffer(data, kind[f], len(out), at)
+        at += kind[f].itemsize * len(out)
+    return out
 
 
 def group_contexts(table, marks: list, p: Repeats, z: Sizes):
@@ -275,13 +302,13 @@ def group_contexts(table, marks: list, p: Repeats, z: Sizes):
         if other.any():
             spans = np.zeros(int(other.sum()), SPAN)
             spans["row"], spans["start"], spans["stop"] = row + text[other], (first - block.cuts[text])[other], (stop - block.cuts[text])[other]
-            yield 0, b"", b"", spans.tobytes()
+            yield 0, b"", b"", columns_of(spans)
         sent = np.flatnonzero(~other)
         for bucket, part in split(z.bucket(short[sent])):
             part = sent[part]
             c = np.zeros(len(part), CONTEXT)
             c["row"], c["doc"], c["start"], c["windows"], c["anchor"] = row + text[part], ids[text[part]], (first - block.cuts[text])[part], count[part], (place - first)[part]
-            yield bucket, c.tobytes(), block.data[ranges(first[part], stop[part])].tobytes(), b""
+            yield bucket, columns_of(c), shrunk(block.data[ranges(first[part], stop[part])].tobytes()), b""
 
 
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -291,9 +318,9 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 def bucket_spans(groups: list, records: list, texts: list, p: Repeats, most: int = 1 << 20):
     """(group, spans) of a bucket's windows that a smaller document has too."""
-    c = np.concatenate([np.frombuffer(r, CONTEXT) for r in records])
-    owner = np.repeat(groups, [len(r) // CONTEXT.itemsize for r in records])
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    parts = [records_of(r, CONTEXT) for r in records]
+    c, owner = np.concatenate(parts), np.repeat(groups, [len(x) for x in parts])
+    data = np.frombuffer(b"".join(map(grown, texts)), np.uint8)
     size = c["windows"].astype(np.int64) + p.length - 1
     stop = np.cumsum(size)
     start = stop - size
@@ -311,8 +338,8 @@ def bucket_spans(groups: list, records: list, texts: list, p: Repeats, most: int
     def found(who, first, last):
         out_row.append(c["row"][who])
         out_owner.append(owner[who])
-        out_start.append(c["start"][who] + first)
-        out_stop.append(c["start"][who] + last + p.length)
+        out_start.append(c["start"][who].astype(np.int64) + first)
+        out_stop.append(c["start"][who].astype(np.int64) + last + p.length)
 
     order = np.lexsort((c["doc"], name))
     new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
@@ -352,7 +379,7 @@ def bucket_spans(groups: list, records: list, texts: list, p: Repeats, most: int
     for g, part in split(group):
         spans = np.zeros(len(part), SPAN)
         spans["row"], spans["start"], spans["stop"] = row[part], begin[part], end[part]
-        yield g, spans.tobytes()
+        yield g, columns_of(spans)
 
 
 def smaller_windows(data, start, stop, windows, doc, p: Repeats):
@@ -435,7 +462,7 @@ def texts_with_spans(table, spans: list):
     for t in table.filter(pc.is_null(table.column("doc_id"))).column("text").to_pylist():
         yield None, (t or "").encode(), None
     table = table.filter(pc.is_valid(table.column("doc_id"))).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
-    s = np.concatenate([np.frombuffer(b, SPAN) for b in spans]) if spans else np.zeros(0, SPAN)
+    s = np.concatenate([records_of(b, SPAN) for b in spans]) if spans else np.zeros(0, SPAN)
     s = s[np.argsort(s["row"], kind="stable")]
     cut = np.searchsorted(s["row"], np.arange(table.num_rows + 1))
     for k, (i, t) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text"), strict=True)):
