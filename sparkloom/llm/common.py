@@ -35,7 +35,9 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.made: dict[int, str] = {}
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        """``df``, written and read again; by at most so many tasks in the last stage if ``tasks`` is given."""
+        df = df.coalesce(tasks) if tasks else df
         path = f"{self.root}/{len(self.made)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -162,25 +164,27 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star steps until the links are stars. A hub's
     minimum is aggregated before the shuffle and its rows meet it in a join that
-    adaptive execution can split; each step is a written table.
+    adaptive execution can split; each step is a written table, by a task for
+    each half million links.
     """
+    spread = lambda n: max(8, -(-n // 500_000))
     state = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    tasks, mark = spread(state.count()), None
     while True:
         both = state.union(state.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.table(large)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = scratch.table(large, tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.table(small)
+        after = scratch.table(small, tasks)
         scratch.drop(state, large)
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        state = after
-        if now == mark:
+        n, now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state, tasks = after, spread(n)
+        if (n, now) == mark:
             break
-        mark = now
-    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(state.select("v", "v")).distinct()
+        mark = n, now
+    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
 
 
 def text_blocks(column, chars: int = 1 << 21):

@@ -26,7 +26,7 @@ class MinHash:
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    rounds: int = 3
+    rounds: int = 2
     log_universe: int = 20
     seed: int = 7
 
@@ -64,25 +64,43 @@ def band_keys(sig: np.ndarray, p: MinHash) -> np.ndarray:
 
 
 def describe(docs: DataFrame, p: MinHash) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, and the band keys (null for empty sets)."""
+    """doc_id, n_shingles, two hashes of the whole set, the band keys (null for empty sets) and the set's bitmap."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, one, two, keys = [], [], [], []
+            n, one, two, keys, bits = [], [], [], [], []
             for s in text_shingles(batch.column("text"), p.words):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     one.append(int(np.add.reduce(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
                     two.append(int(np.add.reduce(mix64(s * np.uint64(0xC2B2AE3D27D4EB4F))).view(np.int64)) if len(s) else 0)
                 keys.append(band_keys(signature(s, p), p) if len(s) else None)
+                bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>")
+
+
+BITS = 1024
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each hash value modulo ``BITS`` that the set holds, in longs."""
+    held = np.zeros(BITS, bool)
+    held[(shingles >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = True
+    return np.packbits(held).view(np.int64)
+
+
+def may_link(n_x, bits_x, n_y, bits_y, p: MinHash):
+    """False only if the bitmaps prove too small an intersection: a bit that one set lacks is a shingle that it lacks."""
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: F.bit_count(s.bitwiseAND(F.bitwise_not(t)))), F.lit(0), lambda k, v: k + v)
+    shared = F.least(n_x - lacks(bits_x, bits_y), n_y - lacks(bits_y, bits_x))
+    return 100 * shared >= p.percent * (n_x + n_y - shared)
 
 
 def measure(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
@@ -119,12 +137,13 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets are one class. Classes that share a band are
-    compared with the bucket's smallest id, then in further rounds with another
+    compared with the bucket's smallest id, then (for all but the last of ``rounds``) with another
     member of the bucket if they are still in another component, and at last with
     all members of the bucket in other components. So the components are those
     that all pairs of all buckets would give, but pairs within a component are
-    never made. The last step leaves out pairs whose similarities to the bucket's
-    first hub differ by more than a link allows: Jaccard distance is a metric.
+    never made. The last step leaves out pairs that can't link: those whose bitmaps
+    prove too few common shingles, and those whose similarities to the bucket's
+    first hub differ by more than a link allows, as Jaccard distance is a metric.
 
     Null text counts as empty; empty texts and texts of white space have no
     shingles and link with nothing. A row with null doc_id links with nothing,
@@ -137,7 +156,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     docs = fold(docs, "doc_id", "text")
     described = scratch.table(describe(docs, p))
     some = described.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    classes = scratch.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("bits", "doc_id").alias("bits")))
     members = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     shared = scratch.table(members.join(hubs, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
@@ -157,10 +176,12 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
             other = state.groupBy("key").agg(F.min_by(F.struct("rep", "n", "part"), draw).alias("x"))
             pairs = state.join(other, "key").where((F.col("part") != F.col("x.part")) & fits(F.col("n"), F.col("x.n")) & (F.col("rep") != F.col("hub")) & (F.col("x.rep") != F.col("hub"))).select(F.col("x.rep").alias("a"), F.col("rep").alias("b"))
         else:
+            state = scratch.table(state.join(classes.select("rep", "bits").groupBy("rep").agg(F.min("bits").alias("bits"), F.count("*").alias("sets")), "rep"))
             x, y = state.alias("x"), state.alias("y")
+            plausible = may_link(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits"), p) | (F.col("x.sets") > 1) | (F.col("y.sets") > 1)
             far = F.abs(F.col("x.sim") - F.col("y.sim")) > 1 - p.percent / 100 + 1e-9
             pairs = (
-                x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n")) & ~F.coalesce(far, F.lit(False)))
+                x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n")) & ~F.coalesce(far & (F.col("x.sets") == 1) & (F.col("y.sets") == 1), F.lit(False)) & plausible)
                 .where("x.rep <> x.hub and y.rep <> y.hub")
                 .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
             )
@@ -168,7 +189,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         parts = scratch.table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.where("linked").select("a", "b")), scratch))
     named = classes.select("set_a", "set_b", "n_shingles", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return (
-        described.drop("bands")
+        described.drop("bands", "bits")
         .join(named, ["set_a", "set_b", "n_shingles"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
