@@ -23,7 +23,8 @@ from sparkloom.llm.common import Scratch, fold, mix64, text_blocks, words_of
 class Walks:
     """``edits`` is the largest edit distance as a share of the item's characters.
 
-    Items go to the executors in chunks of at most ``chunk_bytes`` of text.
+    Items go to the executors in chunks of about ``chunk_bytes`` of text at most,
+    whose keys take some 25 times that; each chunk is a pass over the documents.
     """
 
     edits: float = 0.1
@@ -31,7 +32,7 @@ class Walks:
     steps: int = 16
     samples: int = 3
     sampled: int = 6
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 2 << 20
     seed: int = 3
 
 
