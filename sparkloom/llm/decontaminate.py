@@ -179,10 +179,7 @@ def leaks_of(column, index: Index):
                 else:
                     merged.append([lo, hi])
             best, want, limit = None, index.items[item][1], index.limit[item]
-            own = set(index.words[item].tolist())
             for lo, hi in merged:
-                if len(own) - len(own.intersection(words[lo:hi].tolist())) > limit:
-                    continue  # each word of the item that is missing costs an edit at least
                 part = plain(piece[starts[lo - doc] : ends[hi - 1 - doc]].tobytes())
                 d = edit_distance_within(want, part)
                 best = d if best is None else min(best, d)

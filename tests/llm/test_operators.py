@@ -182,6 +182,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, docs), frame(spark, [], "item_id long, text string")).collect() == []
 
 
+def leak_edits(spark, items, docs):
+    return {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+
+
+def test_decontamination_of_joined_words(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(40)]
+    item = " ".join(words)
+    joined = " ".join([a + b for a, b in zip(words[:26:2], words[1:26:2], strict=True)] + words[26:])
+    lost = len(item) - len(joined)
+    assert lost == 13 and len(set(words) - set(joined.split())) > int(0.1 * len(item))
+    assert leak_edits(spark, [(1, item)], [(5, f"before it {joined} after it")]) == {(5, 1): lost}
+
+
 def test_pivots(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
