@@ -1,11 +1,12 @@
 """Benchmark passages in documents, found by edit distance.
 
-A random walk over the words of a window (copy a word, then move on or stay as
-a hash of step and word says) embeds edit distance in Hamming distance: after
-an edit two walks soon fall in step again. Repeated samples of walk steps are
-the hash keys. Every word of every document starts a walk, and so does every
-word of an item, so that any undisturbed stretch of an item gives a key; each
-hit names an item-sized window, whose edit distance is then computed exactly.
+An item with at most k edits, cut into k + 1 pieces, keeps a piece unchanged
+wherever the edits are, and of runs of u pieces one has fewer than u edits. So
+every place of a document is looked up among the pieces; each hit names a run
+of pieces (a block), whose edit distance to the text around the hit is computed
+for many hits at once; and where a block fits, the edit distance of the whole
+item is computed exactly. No step loses a passage within the limit, whatever
+the item's length.
 """
 
 from __future__ import annotations
@@ -16,60 +17,40 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, fold, mix64, text_blocks, words_of
+from sparkloom.llm.common import Scratch, column_bytes, fold, mix64
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Characters in 64 classes for the blocks' bit masks; the last one stands between texts and is in no block.
+_CLASS = (np.arange(256) % 27 + 36).astype(np.uint8)
+_CLASS[97:123], _CLASS[48:58] = np.arange(26), np.arange(26, 36)
+_BETWEEN = 63
+#: The longest run that one machine word of the bit-parallel distance holds, and the most bytes of a piece in its key.
+_BLOCK, _KEY = 64, 16
 
 
 @dataclass(frozen=True)
-class Walks:
+class Limits:
     """``edits`` is the largest edit distance as a share of the item's characters.
 
     Items go to the executors in chunks of about ``chunk_bytes`` of text at most,
-    whose keys take some 25 times that; each chunk is a pass over the documents.
+    whose pieces take some 25 times that; each chunk is a pass over the documents.
     """
 
     edits: float = 0.1
-    walks: int = 2
-    steps: int = 16
-    samples: int = 3
-    sampled: int = 6
     chunk_bytes: int = 2 << 20
-    seed: int = 3
-
-
-def plan(p: Walks) -> list[np.ndarray]:
-    rng = np.random.default_rng(p.seed)
-    return [np.sort(np.array([rng.choice(p.steps, p.sampled, replace=False) for _ in range(p.samples)]), axis=1) for _ in range(p.walks)]
-
-
-def walk_keys(words: np.ndarray, stop: np.ndarray, p: Walks):
-    """Keys of the walks from every place of ``words`` (0 where a text ends, which no walk leaves).
-
-    Yields (walk and sample number, keys, which keys saw only words of the text).
-    """
-    for r, samples in enumerate(plan(p)):
-        with np.errstate(over="ignore"):
-            coin = (mix64(words ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(64 - p.steps)).astype(np.uint32)
-        coin[stop] = 0
-        place = np.arange(len(words), dtype=np.int32)
-        keys = [np.full(len(words), r * p.samples + k + 1, np.uint64) for k in range(p.samples)]
-        last = samples.max()
-        for j in range(last + 1):
-            using = [k for k in range(p.samples) if j in samples[k]]
-            if using:
-                seen = words[place]
-                with np.errstate(over="ignore"):
-                    for k in using:
-                        keys[k] *= np.uint64(0xC2B2AE3D27D4EB4F)
-                        keys[k] ^= seen
-                        if j == samples[k][-1]:
-                            yield r * p.samples + k, mix64(keys[k]), ~stop[place]
-            if j < last:
-                place += ((coin[place] >> np.uint32(j)) & np.uint32(1)).astype(np.int32)
 
 
 def plain(data: bytes) -> str:
     """Lower-case A-Z and single spaces."""
-    return " ".join(bytes(c + 32 if 65 <= c <= 90 else c for c in data).decode("utf-8", "replace").split())
+    return " ".join(data.translate(_LOWER).decode("utf-8", "replace").split())
+
+
+def narrow(text: str) -> np.ndarray:
+    """A byte for each character. Equal characters have equal bytes, so distances never grow."""
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(c < 128, c, c & 127 | 128).astype(np.uint8)
 
 
 def edit_distance_within(item: str, text: str) -> int:
@@ -98,98 +79,153 @@ def edit_distance_within(item: str, text: str) -> int:
     return best
 
 
+def piece_keys(text: np.ndarray, size: int) -> np.ndarray:
+    """A key for the ``size`` bytes from every place, up to the last bytes of the array, which are padding."""
+    eight = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    if size < 8:
+        return mix64(eight & np.uint64((1 << 8 * size) - 1) | np.uint64(size << 56))
+    with np.errstate(over="ignore"):
+        key = eight[: len(eight) - size + 8] * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        key += eight[size - 8 :]
+        key *= np.uint64(0xC2B2AE3D27D4EB4F)
+    key ^= key >> np.uint64(32)
+    with np.errstate(over="ignore"):
+        key *= np.uint64(0xFF51AFD7ED558CCD)
+    return key
+
+
 class Index:
-    """Walk keys of a chunk of items. Items with fewer words than a walk may need are sought as whole word runs."""
+    """Pieces of a chunk of items, and the blocks that they belong to."""
 
-    def __init__(self, items: list[tuple[list[int], str]], p: Walks):
-        self.p, self.items = p, items
-        self.words = [words_of(np.frombuffer(t.encode(), np.uint8))[2] for _, t in items]
+    def __init__(self, items: list[tuple[list[int], str]], p: Limits):
+        self.items = items
         self.limit = [int(p.edits * len(t)) for _, t in items]
-        key, item, offset, self.runs = [], [], [], {}
-        for n, w in enumerate(self.words):
-            if len(w) < p.steps // 2 + 1:
-                if len(w):
-                    self.runs.setdefault(len(w), {}).setdefault(self.run(w, len(w))[0], []).append(n)
-                continue
-            stop = np.zeros(len(w) + 1, bool)
-            stop[-1] = True
-            for _, keys, inside in walk_keys(np.append(w, np.uint64(0)), stop, p):
-                at = np.flatnonzero(inside)
-                key.append(keys[at])
-                item.append(np.full(len(at), n))
-                offset.append(at)
-        self.key, self.item, self.offset = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((key, np.uint64), (item, np.int64), (offset, np.int64)))
-        by = np.argsort(self.key, kind="stable")
-        self.key, self.item, self.offset = self.key[by], self.item[by], self.offset[by]
-        self.bits = max(16, int(len(self.key)).bit_length() + 4)
-        self.may = np.zeros(1 << self.bits, bool)
-        self.may[(self.key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-
-    @staticmethod
-    def run(words: np.ndarray, n: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = words[: len(words) - n + 1].copy()
-            for k in range(1, n):
-                h = mix64(h * np.uint64(31) + words[k : k + len(h)])
-        return h
-
-    def hits(self, words: np.ndarray, stop: np.ndarray):
-        """(item, place where the item's first word would be) of every key met."""
-        out = []
-        for _, keys, inside in walk_keys(words, stop, self.p) if len(self.key) else ():
-            at = np.flatnonzero(self.may[(keys >> np.uint64(64 - self.bits)).astype(np.int64)] & inside)
-            lo = np.searchsorted(self.key, keys[at])
-            hi = np.searchsorted(self.key, keys[at], "right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(np.stack((self.item[k], np.repeat(at, n) - self.offset[k]), axis=1))
-        for n, table in self.runs.items():
-            if len(words) >= n:
-                h = self.run(words, n)
-                for at in np.flatnonzero(np.isin(h, np.fromiter(table, np.uint64, len(table)))):
-                    out += [np.array([[x, at]]) for x in table[h[at]]]
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        item, offset, size, spare, found, where = [], [], [], [], {}, []
+        for n, (_, t) in enumerate(items):
+            text, pieces = narrow(t), self.limit[n] + 1
+            cuts = [len(text) * k // pieces for k in range(pieces + 1)]
+            k = 0
+            while k < pieces:
+                end = k + 1
+                while end < pieces and cuts[end + 1] - cuts[k] <= _BLOCK:
+                    end += 1
+                stop = min(cuts[end], cuts[k] + _BLOCK)
+                for j in range(k, end):
+                    width = min(cuts[j + 1] - cuts[j], _KEY)
+                    if not width:  # as many edits as characters are allowed
+                        continue
+                    found.setdefault(width, []).append((n, cuts[j], len(item), cuts[j] - cuts[k]))
+                item.append(n)
+                offset.append(cuts[k])
+                size.append(stop - cuts[k])
+                spare.append(end - k - 1)
+                where.append(text[cuts[k] : stop])
+                k = end
+        self.block_item, self.block_offset, self.block_size, self.block_spare = (np.array(x, np.int64) for x in (item, offset, size, spare))
+        self.masks = np.zeros((len(item) + 1) * 64, np.uint64)
+        for b, text in enumerate(where):
+            np.bitwise_or.at(self.masks, b * 64 + _CLASS[text].astype(np.int64), np.uint64(1) << np.arange(len(text), dtype=np.uint64))
+        self.tables = {}
+        narrowed = [np.append(narrow(t), np.zeros(_KEY, np.uint8)) for _, t in items]
+        for width, rows in found.items():
+            own = np.concatenate([narrowed[n][at : at + _KEY] for n, at, _, _ in rows] + [np.zeros(_KEY, np.uint8)])
+            key = piece_keys(own, width)[: len(own) - _KEY : _KEY]
+            by = np.argsort(key, kind="stable")
+            bits = max(16, len(key).bit_length() + 5)
+            may = np.zeros(1 << bits, bool)
+            may[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.tables[width] = key[by], np.array([r[2] for r in rows])[by], np.array([r[3] for r in rows])[by], bits, may
+
+    def hits(self, text: np.ndarray, most: int = 1 << 18):
+        """(block, place where the block would begin, place of the piece) of every piece in ``text``, which ends with ``_KEY`` bytes
+        of padding; about ``most`` at a time."""
+        for width, (key, block, ahead, bits, may) in self.tables.items():
+            keys = piece_keys(text, width)
+            at = np.flatnonzero(may[(keys >> np.uint64(64 - bits)).view(np.int64)])
+            lo = np.searchsorted(key, keys[at])
+            n = np.searchsorted(key, keys[at], "right") - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            total, i = np.append(0, np.cumsum(n)), 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
+                k = np.arange(total[j] - total[i]) + np.repeat(lo[i:j] - total[i:j] + total[i], n[i:j])
+                place = np.repeat(at[i:j], n[i:j])
+                yield block[k], place - ahead[k], place
+                i = j
+
+    def fits(self, kind: np.ndarray, block: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the text at each place (as classes) holds the block with no more edits than it may have."""
+        out = np.empty(len(block), bool)
+        for a in range(0, len(block), 1 << 14):
+            b, spare = block[a : a + (1 << 14)], self.block_spare[block[a : a + (1 << 14)]]
+            size = self.block_size[b]
+            row, place = b * 64, begin[a : a + (1 << 14)] - spare
+            top = (size - 1).astype(np.uint64)
+            up, down = np.full(len(b), ~np.uint64(0)), np.zeros(len(b), np.uint64)
+            score, one = size.copy(), np.uint64(1)
+            best = score.copy()
+            with np.errstate(over="ignore"):
+                for k in range(int((size + 2 * spare).max())):
+                    eq = self.masks[row + kind[np.clip(place + k, 0, len(kind) - 1)]]
+                    x = eq | down
+                    d = (((x & up) + up) ^ up) | x
+                    hp = down | ~(d | up)
+                    hn = d & up
+                    score += ((hp >> top) & one).view(np.int64)
+                    score -= ((hn >> top) & one).view(np.int64)
+                    hp <<= one
+                    up = (hn << one) | ~(d | hp)
+                    down = hp & d
+                    np.minimum(best, score, out=best)
+            out[a : a + (1 << 14)] = best <= spare
+        return out
+
+
+def plain_blocks(column, chars: int = 1 << 20):
+    """First row and plain texts of an Arrow string column, in blocks of about ``chars`` bytes."""
+    data, offsets = column_bytes(column)
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chars, "right")) - 1)
+        yield row, [plain(data[offsets[k] : offsets[k + 1]].tobytes()) for k in range(row, stop)]
+        row = stop
 
 
 def leaks_of(column, index: Index):
     """(row, item number, edits) for every text and item within the limit."""
-    for row, stop_row, piece, starts, ends, hashes, cuts in text_blocks(column):
-        n = stop_row - row
-        text = np.repeat(np.arange(n), np.diff(cuts))
-        words, stop = np.zeros(len(hashes) + n, np.uint64), np.ones(len(hashes) + n, bool)
-        at = np.arange(len(hashes)) + text
-        words[at], stop[at] = hashes, False
-        owner = np.repeat(np.arange(n), np.diff(cuts) + 1)
-        first = cuts[:-1] + np.arange(n)
-        hits = index.hits(words, stop)
-        # A hit before its text's first word (an item cut off at the front) stays with the text of its key.
-        found: dict = {}
-        for item, place in hits.tolist():
-            w = len(index.words[item])
-            spare = index.limit[item] + 1
-            for doc in {int(owner[min(max(place, 0), len(owner) - 1)]), int(owner[min(max(place + w // 2, 0), len(owner) - 1)])}:
-                lo, hi = max(place - spare, int(first[doc])), min(place + w + spare, int(first[doc] + cuts[doc + 1] - cuts[doc]))
-                if lo < hi:
-                    found.setdefault((doc, item), []).append((lo, hi))
-        for (doc, item), spans in found.items():
-            merged: list = []
-            for lo, hi in sorted(spans):
-                if merged and lo <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], hi)
-                else:
-                    merged.append([lo, hi])
-            best, want, limit = None, index.items[item][1], index.limit[item]
-            for lo, hi in merged:
-                part = plain(piece[starts[lo - doc] : ends[hi - 1 - doc]].tobytes())
-                d = edit_distance_within(want, part)
-                best = d if best is None else min(best, d)
-                if best == 0:
-                    break
-            if best is not None and best <= limit:
-                yield row + doc, item, best
-
-
-def chunks(benchmark: DataFrame, p: Walks) -> list[DataFrame]:
+    limit, length = np.array(index.limit, np.int64), np.array([len(t) for _, t in index.items], np.int64)
+    for row, texts in plain_blocks(column):
+        sizes = np.array([len(t) for t in texts])
+        first = np.cumsum(sizes + 1) - sizes - 1
+        text = np.zeros(int(sizes.sum()) + len(texts) + _KEY, np.uint8)
+        between = np.ones(len(text), bool)
+        for t, a, n in zip(texts, first.tolist(), sizes.tolist(), strict=True):
+            text[a : a + n] = narrow(t)
+            between[a : a + n] = False
+        kind = _CLASS[text].astype(np.int64)
+        kind[between] = _BETWEEN
+        kept: list = [np.zeros((3, 0), np.int64)]
+        for block, begin, place in index.hits(text):
+            fit = index.fits(kind, block, begin)
+            kept.append(np.stack((np.searchsorted(first, place[fit], "right") - 1, index.block_item[block[fit]], begin[fit] - index.block_offset[block[fit]])))
+        doc, item, at = np.unique(np.concatenate(kept, axis=1), axis=1)
+        lo = np.maximum(at - limit[item] - first[doc], 0)
+        hi = np.minimum(at + length[item] + limit[item] - first[doc], sizes[doc])
+        # Places of an item ascend within a document, so what overlaps is one stretch of text.
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])))[: len(doc)])
+        last = np.append(new[1:], len(doc))[: len(new)] - 1
+        best: dict = {}
+        for d, n, a, b in zip(doc[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[last].tolist(), strict=True):
+            if best.get((d, n)) != 0:
+                e = edit_distance_within(index.items[n][1], texts[d][a:b])
+                best[d, n] = min(e, best.get((d, n), e))
+        for (d, n), e in best.items():
+            if e <= index.limit[n]:
+                yield row + d, n, e
+
+
+def chunks(benchmark: DataFrame, p: Limits) -> list[DataFrame]:
     """Items (item_id, text) in chunks whose text fits ``chunk_bytes``, dealt by a hash of the text."""
     some = fold(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     size = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -197,7 +233,7 @@ def chunks(benchmark: DataFrame, p: Walks) -> list[DataFrame]:
     return [some if n == 1 else some.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, p: Walks = Walks()) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) -> DataFrame:
     """doc_id, item_id, edits: every document and benchmark item within the edit limit.
 
     ``edits`` is the least edit distance (characters, A-Z lower-cased, white space
@@ -227,7 +263,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Walks = Walks()) -> D
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Walks = Walks()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) -> DataFrame:
     """The documents that hold no benchmark item; all columns stay."""
     hit = Scratch(docs.sparkSession).table(contaminated(docs, benchmark, p).where("doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct())
     return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")

@@ -196,6 +196,25 @@ def test_decontamination_of_joined_words(spark):
     assert leak_edits(spark, [(1, item)], [(5, f"before it {joined} after it")]) == {(5, 1): lost}
 
 
+@pytest.mark.parametrize("spread", ["even", "random", "front"])
+def test_decontamination_at_the_limit(spark, spread):
+    rng = random.Random(spread)
+    prose = lambda k: " ".join("".join(rng.choices(WORDS, k=rng.randint(1, 4))) for _ in range(k))
+    items = [(k, prose(rng.choice([20, 40, 60])) + rng.choice(["", " é ñañ 日本"])) for k in range(60)]
+    docs = []
+    for k, t in items:
+        most, out = int(0.1 * len(t)), list(t)
+        where = [int((j + 0.5) * len(t) / most) for j in range(most)] if spread == "even" else rng.sample(range(len(t)), most) if spread == "random" else range(most)
+        for j in where:
+            out[j] = rng.choice(["Q", "", out[j] + "Z"])
+        docs.append((k, f"{prose(rng.randint(0, 9))} {''.join(out)} {prose(rng.randint(0, 9))}"))
+    plain = lambda t: decontaminate.plain(t.encode())
+    want = {(k, k): e for (k, t), (_, d) in zip(items, docs, strict=True) for e in [edits(plain(t), plain(d))] if e <= int(0.1 * len(plain(t)))}
+    assert len(want) > 40
+    got = leak_edits(spark, items, docs)
+    assert {k: got.get(k) for k in want} == want
+
+
 def test_pivots(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
