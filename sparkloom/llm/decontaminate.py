@@ -237,7 +237,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) ->
     """doc_id, item_id, edits: every document and benchmark item within the edit limit.
 
     ``edits`` is the least edit distance (characters, A-Z lower-cased, white space
-    as single spaces) of the item to a part of the text. Null and empty texts and
+    as single spaces) of the item to a part of the text, whole words or not. The
+    limit is rounded down, so an item of few characters may have no edits and is
+    found wherever its characters stand. Null and empty texts and
     items match nothing, items with equal texts all match, repeated documents
     give one row an id, and a null doc_id is returned as such.
     """

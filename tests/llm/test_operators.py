@@ -215,6 +215,18 @@ def test_decontamination_at_the_limit(spark, spread):
     assert {k: got.get(k) for k in want} == want
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "what is the capital"), (2, "name two primes"), (3, "who am i"), (4, "日本 の 首都 は どこ です か")]
+    docs = [(10, "q: (What is the capitol?)"), (11, '"name two primes".'), (12, "[who am I]"), (13, "name tvo primes"), (14, "who an i"), (15, "何 日本 の 首都 わ どこ です か"), (16, "whatisthe capital")]
+    assert leak_edits(spark, items, docs) == {(10, 1): 1, (11, 2): 0, (12, 3): 0, (13, 2): 1, (15, 4): 1}
+    rng = random.Random(2)
+    items = [(k, "".join(rng.choices("ab c", k=rng.randint(1, 24)))) for k in range(40)]
+    docs = [(k, "".join(rng.choices("ab c", k=rng.randint(1, 60)))) for k in range(60)]
+    plain = lambda t: decontaminate.plain(t.encode())
+    want = {(d, i): e for d, t in docs for i, x in items if plain(x) for e in [edits(plain(x), plain(t))] if e <= int(0.1 * len(plain(x)))}
+    assert len(want) > 50 and leak_edits(spark, items, docs) == want
+
+
 def test_pivots(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
