@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch
+from sparkloom.llm.common import Scratch, row_key
 from sparkloom.llm.decontaminate import decontaminate
 from sparkloom.llm.minhash import near_duplicates
 from sparkloom.llm.pieces import load_pieces
 from sparkloom.llm.sampling import segment
 from sparkloom.llm.suffixes import without_repeats
-from sparkloom.llm.toxicity import toxicity
+from sparkloom.llm.toxicity import rejected
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A rejected doc_id goes with all its rows; rows without an id are kept if they score below the threshold.
     """
     docs = docs.select(*COLUMNS)
-    scored = Scratch(spark).table(toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(scored, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = Scratch(spark).table(rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(F.col("key").alias("_bad")))
+    return docs.join(bad, row_key() == F.col("_bad"), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

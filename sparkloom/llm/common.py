@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
@@ -61,6 +61,11 @@ def fold(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_key() -> Column:
+    """The doc_id as text; for rows without one a hash of their text, so that equal texts are judged alike and no key is hot."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit mixer, on uint64 arrays."""
     x = x.astype(np.uint64, copy=True)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, column_bytes, fold, mix64
+from sparkloom.llm.common import Scratch, column_bytes, fold, mix64, row_key
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Characters in 64 classes for the blocks' bit masks; the last one stands between texts and is in no block.
@@ -233,18 +233,10 @@ def chunks(benchmark: DataFrame, p: Limits) -> list[DataFrame]:
     return [some if n == 1 else some.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) -> DataFrame:
-    """doc_id, item_id, edits: every document and benchmark item within the edit limit.
-
-    ``edits`` is the least edit distance (characters, A-Z lower-cased, white space
-    as single spaces) of the item to a part of the text, whole words or not. The
-    limit is rounded down, so an item of few characters may have no edits and is
-    found wherever its characters stand. Null and empty texts and
-    items match nothing, items with equal texts all match, repeated documents
-    give one row an id, and a null doc_id is returned as such.
-    """
+def leaks(docs: DataFrame, benchmark: DataFrame, p: Limits) -> DataFrame:
+    """key, item_id, edits of ``docs`` (key, text); a key may come several times."""
     spark, out = docs.sparkSession, None
-    docs = fold(docs, "doc_id", "text")
+    kind = docs.schema["key"].dataType.simpleString()
     for chunk in chunks(benchmark, p):
         by: dict = {}
         for r in chunk.collect():  # at most about chunk_bytes of text
@@ -255,20 +247,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) ->
             import pyarrow as pa
 
             for b in batches:
-                ids, rows = b.column("doc_id").to_pylist(), []
-                for k, item, d in leaks_of(b.column("text"), index.value):
-                    rows += [(ids[k], i, d) for i in index.value.items[item][0]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "item_id", "edits"])
+                rows = [(k, i, d) for k, item, d in leaks_of(b.column("text"), index.value) for i in index.value.items[item][0]]
+                keys = b.column("key").take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["key", "item_id", "edits"])
 
-        part = docs.mapInArrow(run, "doc_id long, item_id long, edits long")
+        part = docs.mapInArrow(run, f"key {kind}, item_id long, edits long")
         out = part if out is None else out.union(part)
-    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) -> DataFrame:
+    """doc_id, item_id, edits: every document and benchmark item within the edit limit.
+
+    ``edits`` is the least edit distance (characters, A-Z lower-cased, white space
+    as single spaces) of the item to a part of the text, whole words or not. The
+    limit is rounded down, so an item of few characters may have no edits and is
+    found wherever its characters stand. Null and empty texts and
+    items match nothing, items with equal texts all match, repeated documents
+    give one row an id, and a null doc_id is returned as such.
+    """
+    found = leaks(fold(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("key"), "text"), benchmark, p)
+    return found.groupBy(F.col("key").alias("doc_id"), "item_id").agg(F.min("edits").alias("edits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) -> DataFrame:
-    """The documents that hold no benchmark item; all columns stay."""
-    hit = Scratch(docs.sparkSession).table(contaminated(docs, benchmark, p).where("doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    """The documents that hold no benchmark item; all columns stay.
+
+    A doc_id goes with all its rows; rows without an id are judged by their own text.
+    """
+    found = leaks(docs.select(row_key().alias("key"), "text"), benchmark, p)
+    hit = Scratch(docs.sparkSession).table(found.select(F.col("key").alias("_hit")).distinct())
+    return docs.join(hit, row_key() == F.col("_hit"), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import _LOWER, column_bytes, fold, mix64, words_of
+from sparkloom.llm.common import _LOWER, column_bytes, fold, mix64, row_key, words_of
 
 
 @dataclass(frozen=True)
@@ -279,18 +279,29 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Net:
     return train([r.text for r in rows], [r.toxic for r in rows], p)
 
 
-def score(docs: DataFrame, net: Net) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. Null and empty texts score 0; a null doc_id isn't held out."""
-    model, threshold = docs.sparkSession.sparkContext.broadcast(net), net.p.threshold
+def scores(docs: DataFrame, net: Net) -> DataFrame:
+    """key, score for every row of ``docs`` (key, text). Null and empty texts score 0."""
+    model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text_scores(b.column("text"), model.value))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(text_scores(b.column("text"), model.value))], ["key", "score"])
+
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, score double")
+
+
+def score(docs: DataFrame, net: Net) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row. Null and empty texts score 0; a null doc_id isn't held out."""
+    out = scores(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), net).withColumnRenamed("key", "doc_id")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= net.p.threshold).cast("int").alias("predicted"))
+
 
-    out = fold(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def rejected(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> DataFrame:
+    """The distinct ``row_key`` of the rows that the classifier rejects."""
+    out = scores(docs.select(row_key().alias("key"), "text"), fit(docs, labels, p))
+    return out.where(F.col("score") >= p.threshold).select("key").distinct()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline as c
+from sparkloom.llm import toxicity
 from sparkloom.llm.common import Scratch
 
 from .test_operators import shingle_set, texts
@@ -39,3 +40,13 @@ def test_run_and_clashing_columns(spark, folder):
     assert c.run(spark, folder).columns == ["doc_id", "pieces", "n_pieces", "lossless"]
     docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS _bad", "'x' AS bands")
     assert c.drop_toxic(spark, docs, folder).columns == c.COLUMNS
+
+
+def test_rows_without_id_are_judged_by_their_own_text(spark, folder, monkeypatch):
+    rows = [(None, t, "en", "s", len(t)) for t in ("a blorgen one", "fine words stand here", "it holds the benchmark passage, in full")] + [(7, "fine too", "en", "s", 8), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, KIND)
+    monkeypatch.setattr("sparkloom.llm.toxicity.fit", lambda *_: toxicity.Net(toxicity.Toxicity()))
+    monkeypatch.setattr("sparkloom.llm.toxicity.text_scores", lambda column, _: [float("blorg" in (t or "")) for t in column.to_pylist()])
+    assert sorted(r.text or "" for r in c.drop_toxic(spark, docs, folder).collect()) == ["", "fine too", "fine words stand here", "it holds the benchmark passage, in full"]
+    items = spark.createDataFrame([(1, "holds the benchmark passages, in full")], "item_id long, text string")
+    assert sorted(r.text or "" for r in c.decontaminate(docs, items).collect()) == ["", "a blorgen one", "fine too", "fine words stand here"]
