@@ -41,9 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that a document with a smaller id holds too."""
     docs = docs.select(*COLUMNS)
-    kept = without_repeats(docs).withColumnRenamed("doc_id", "_id").where("_id is not null").groupBy("_id").agg(F.max("kept_text").alias("_text"))
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.coalesce("_text", "text"))
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("text").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    kept = without_repeats(docs.withColumn("null_text", F.col("text").isNull()), carry=("lang", "source", "n_chars", "null_text"))
+    text = F.when(~F.col("null_text"), F.col("kept_text"))
+    return kept.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("null_text"), F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long")).alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -411,7 +411,8 @@ def smaller_windows(data, start, stop, windows, doc, p: Repeats):
 
 
 def grouped(docs: DataFrame, z: Sizes) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(z.groups)), F.lit(0)).alias("group"))
+    carried = [c for c in docs.columns if c.startswith("carried_")]
+    return docs.select("doc_id", "text", *carried, F.xxhash64("text").alias("mark"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(z.groups)), F.lit(0)).alias("group"))
 
 
 def removed_spans(docs: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame, Sizes]:
@@ -454,14 +455,23 @@ def removed_spans(docs: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame, Si
     return rows, found.groupBy("bucket").applyInArrow(spans, "group long, spans binary"), z
 
 
-def texts_with_spans(table, spans: list):
-    """(doc_id, bytes, mask of removed bytes) of every row of a group, null ids first."""
+def in_order(table):
+    """The rows of a group in the order of ``texts_with_spans``: null ids first."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    for t in table.filter(pc.is_null(table.column("doc_id"))).column("text").to_pylist():
+    known = table.filter(pc.is_valid(table.column("doc_id"))).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+    return pa.concat_tables([table.filter(pc.is_null(table.column("doc_id"))), known])
+
+
+def texts_with_spans(table, spans: list):
+    """(doc_id, bytes, mask of removed bytes) of every row of a group that is in order."""
+    import pyarrow as pa
+
+    unknown = table.column("doc_id").null_count
+    for t in table.column("text").slice(0, unknown).to_pylist():
         yield None, (t or "").encode(), None
-    table = table.filter(pc.is_valid(table.column("doc_id"))).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+    table = table.slice(unknown)
     s = np.concatenate([records_of(b, SPAN) for b in spans]) if spans else np.zeros(0, SPAN)
     s = s[np.argsort(s["row"], kind="stable")]
     cut = np.searchsorted(s["row"], np.arange(table.num_rows + 1))
@@ -475,18 +485,25 @@ def texts_with_spans(table, spans: list):
         yield i, data, mask
 
 
-def per_text(docs: DataFrame, p: Repeats, finish, schema: str) -> DataFrame:
-    rows, spans, _ = removed_spans(fold(docs, "doc_id", "text"), p)
+def per_text(docs: DataFrame, p: Repeats, finish, schema: str, carry: tuple = ()) -> DataFrame:
+    """A row of ``schema`` for every row of ``docs``, with the columns ``carry`` of the same row after it."""
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    docs = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, carried, strict=True)])
+    rows, spans, _ = removed_spans(docs, p)
+    names = [c.split()[0] for c in schema.split(", ")]
+    out = ", ".join([schema, *(f"{n} {docs.schema[n].dataType.simpleString()}" for n in carried)])
 
     def run(table, marked):
         import pyarrow as pa
 
+        table = in_order(table)
         got = [finish(*x) for x in texts_with_spans(table, marked.column("spans").to_pylist())] if table.num_rows else []
-        names = [c.split()[0] for c in schema.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string()}
-        return pa.table({n: pa.array([g[k] for g in got], kinds[c.split()[1]]) for k, (n, c) in enumerate(zip(names, schema.split(", "), strict=True))})
+        made = {n: pa.array([g[k] for g in got], kinds[c.split()[1]]) for k, (n, c) in enumerate(zip(names, schema.split(", "), strict=True))}
+        return pa.table(made | {n: table.column(n) for n in carried})
 
-    return rows.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(run, schema)
+    made = rows.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(run, out)
+    return made.select(*names, *[F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)])
 
 
 def repeated_bytes(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
@@ -507,8 +524,8 @@ def repeated_bytes(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     return per_text(docs, p, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
-    """doc_id, kept_text for every row; a character stays if any byte of it stays."""
+def without_repeats(docs: DataFrame, p: Repeats = Repeats(), carry: tuple = ()) -> DataFrame:
+    """doc_id, kept_text for every row, and the columns ``carry`` of that row; a character stays if any byte of it stays."""
 
     def finish(i, data, mask):
         if mask is None:
@@ -518,7 +535,7 @@ def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
         keep = np.repeat(np.logical_or.reduceat(~mask, lead), np.diff(np.append(lead, len(b))))
         return i, b[keep].tobytes().decode()
 
-    return per_text(docs, p, finish, "doc_id long, kept_text string")
+    return per_text(docs, p, finish, "doc_id long, kept_text string", carry)
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

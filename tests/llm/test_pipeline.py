@@ -50,3 +50,11 @@ def test_rows_without_id_are_judged_by_their_own_text(spark, folder, monkeypatch
     assert sorted(r.text or "" for r in c.drop_toxic(spark, docs, folder).collect()) == ["", "fine too", "fine words stand here", "it holds the benchmark passage, in full"]
     items = spark.createDataFrame([(1, "holds the benchmark passages, in full")], "item_id long, text string")
     assert sorted(r.text or "" for r in c.decontaminate(docs, items).collect()) == ["", "a blorgen one", "fine too", "fine words stand here"]
+
+
+def test_cut_repeats_keeps_each_row_of_an_id(spark, folder):
+    passage = "a passage of more than fifty bytes that two documents hold in full"
+    rows = [(1, passage, "en", "a", 66), (2, f"left {passage}", "en", "b", 71), (2, "zz another text", "fr", "c", 15), (2, None, "de", "d", 4), (None, passage, "it", "e", 66), (None, None, None, None, None)]
+    got = c.cut_repeats(spark, spark.createDataFrame(rows, KIND), folder)
+    want = [(1, passage, "en", "a", 66), (2, "left ", "en", "b", 5), (2, "zz another text", "fr", "c", 15), (2, None, "de", "d", 4), (None, passage, "it", "e", 66), (None, None, None, None, None)]
+    assert got.columns == c.COLUMNS and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
