@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-Parts that name themselves something else (menus, adverts, comments ...) are
-left out of the tree. Every remaining node gets its characters per tag,
+Parts that are something else by their tag (menus, scripts ...) are left out of
+the tree, and so are those that only a class, an id or a form tag calls so, unless
+they hold the article or most of the text. Every remaining node gets its characters per tag,
 adjusted for links, and the sum of its children's densities. The node with the
 largest sum, and the least density on the path from body to it as a threshold,
 tell which subtrees are content.
@@ -35,22 +36,26 @@ _ENDS_P = _BLOCK - frozenset("body html caption tbody td tfoot th thead tr legen
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 _SCOPE = frozenset("ul ol dl table select html body article section div aside nav main td th".split())
 # Names by which parts of a page say that they aren't its article.
-_DROP_TAG = frozenset("nav footer aside form button select datalist input textarea script style noscript noembed noframes template iframe object embed svg canvas audio video dialog menu head title xmp".split())
+_DROP_TAG = frozenset("nav footer aside button select datalist input textarea script style noscript noembed noframes template iframe object embed svg canvas audio video dialog menu head title xmp".split())
 _DROP_NAME = frozenset(
     "ad ads advert adverts advertisement adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe sidebar aside widget widgets related recommended share sharing social breadcrumb breadcrumbs menu menubar nav navbar navigation footer comment comments disqus respond replies login signup pagination pager".split()
 )
-_DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+#: Names of parts whose own articles aren't the page's if another article stands outside.
+_OTHERS = frozenset("comment comments disqus respond replies related recommended".split())
 
 
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "parts", "tag", "tags", "total", "under")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "named", "parent", "parts", "tag", "tags", "total", "under")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts, self.kids = tag, parent, [], []
         self.under = tag in ("article", "main") or bool(parent and parent.under)
+        self.named: set | None = None  # the words that name the node something else
 
 
 def unwanted(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether a node is dropped whatever it holds."""
     if tag in _DROP_TAG or tag == "header" and not inside:
         return True
     if not attributes:
@@ -58,14 +63,61 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5]).lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            if not _DROP_NAME.isdisjoint(_NAME.findall(value)) and tag not in ("html", "body", "article", "main"):
-                return True
-        elif name == "role" and value in _DROP_ROLE or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        if name == "role" and value in _DROP_ROLE or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return tag not in ("html", "body")
     return False
 
 
+def named(tag: str, attributes: str) -> set | None:
+    """The words by which a node calls itself something else; null without one."""
+    if tag in ("html", "body", "article", "main"):
+        return None
+    words = {"form"} if tag == "form" else set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id"):
+            words |= _DROP_NAME.intersection(_NAME.findall(value))
+        elif name == "role" and value == "form":
+            words.add("form")
+    return words or None
+
+
+def prune(root: Node) -> None:
+    """Drop the nodes with names, but for those that hold an article or main element or most of the text outside links.
+
+    Where an article stands outside all such nodes, comments and related articles go even so, and text
+    beside it (an advert longer than a short article) doesn't stay for its length.
+    """
+    order = postorder(root)
+    if not any(n.named for n in order):
+        return
+    text: dict[int, int] = {}
+    landmark: dict[int, bool] = {}
+    for n in order:
+        own = sum(len("".join(p.split())) for p in n.parts if p.__class__ is str)
+        text[id(n)] = 0 if n.tag == "a" else own + sum(text[id(k)] for k in n.kids)
+        landmark[id(n)] = n.tag in ("article", "main") or any(landmark[id(k)] for k in n.kids)
+    post, main, todo = False, False, [root]
+    while todo:
+        n = todo.pop()
+        post = post or n.tag == "article" and text[id(n)] > 0
+        main = main or n.tag == "main" and text[id(n)] > 0
+        todo += [k for k in n.kids if not k.named]
+    half, todo = text[id(root)] / 2, [root]
+
+    def stays(n: Node) -> bool:
+        most = text[id(n)] > half and (n.under or not (post or main))
+        return (landmark[id(n)] or most) and not (post and n.named & _OTHERS)
+
+    while todo:
+        n = todo.pop()
+        gone = {id(k) for k in n.kids if k.named and not stays(k)}
+        if gone:
+            n.parts = [p for p in n.parts if p.__class__ is str or id(p) not in gone]
+            n.kids = [k for k in n.kids if id(k) not in gone]
+        todo += n.kids
+
+
 def parse(page: str) -> Node:
     """Tree of the wanted nodes; text stands in ``parts`` between the children, in page order."""
     root = node = Node("#root", None)
@@ -137,6 +189,7 @@ def parse(page: str) -> Node:
                 skipped.append(tag)
         else:
             child = Node(tag, node)
+            child.named = named(tag, m[3]) if m[3] or tag == "form" else None
             node.kids.append(child)
             node.parts.append(child)
             node = child
@@ -228,6 +281,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    prune(root)
     chosen = content(root)
     out: list[str] = []
     todo: list = [(root, False)]

@@ -327,6 +327,26 @@ def test_main_text_without_landmark():
     assert mainhtml.main_text(page) == " ".join(f"{('word ' * 60)}{k}" for k in range(5))
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="no-sidebar"', 'div class="share-enabled"', 'div class="post has-comments"', 'div id="widget-page"', "form", 'div role="form"'])
+def test_main_text_in_a_named_wrapper(wrapper):
+    body, end = "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(5)), wrapper.split()[0]
+    want = " ".join(f"{('word ' * 60)}{k}" for k in range(5))
+    side = '<nav><a href="/x">menu</a></nav><div class="sidebar"><p>side</p></div><input value="x"><button>go</button><select><option>one</select>'
+    assert mainhtml.main_text(f"<body><{wrapper}>{side}<article>{body}</article></{end}></body>") == want
+    assert mainhtml.main_text(f"<body><{wrapper}>{side}<div>{body}</div></{end}></body>") == want
+    assert mainhtml.main_text(f"<body><{wrapper}>{side}<main>{body}</main></{end}><form><p>mail <input></p></form></body>") == want
+
+
+def test_main_text_without_comments_in_articles():
+    post = "".join(f"<p>{'word ' * 30}{k}</p>" for k in range(3))
+    page = f'<main><article>{post}</article><div id="comments" class="comments-area"><article class="comment-body"><p>{"reply " * 300}</p></article></div></main>'
+    assert mainhtml.main_text(page) == " ".join(f"{('word ' * 30)}{k}" for k in range(3))
+
+
+def test_main_text_beside_a_longer_advert():
+    assert mainhtml.main_text(f'<body><div class="ad">{"buy " * 90}</div><article><h1>Title</h1><p>short one</article></body>') == "Title short one"
+
+
 def test_chat_escapes():
     rng = random.Random(1)
     bits = ["<", "|", "\\", "[", "INST]", "/", "s>", chat.START, chat.END, "\n", "x", "%", "%0A", "é"]
