@@ -44,6 +44,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """The query string with its question mark; empty without one."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits as text (host and path), and its verdict; null without one."""
     fits = lambda h, p: ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -60,14 +65,16 @@ def canonical(host: Column, path: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def keys_of(host: Column, path: Column, labels: int = 5, levels: int = 4) -> Column:
-    """Keys to look up: the whole host and its suffixes of 2 to ``labels`` labels, each with the whole path and its
-    first ``levels`` folders. Longer hosts and paths are still looked up whole."""
+def keys_of(host: Column, path: Column, query: Column) -> Column:
+    """Keys to look up: the whole host with and without its port and its suffixes of 2 labels or more, each with the
+    path and query string, the whole path and each of its folders."""
+    port = F.regexp_extract(host, r":[0-9]+$", 0)
     host, path = canonical(host, path)
-    parts = F.split(host, r"\.")
-    hosts = F.array_distinct(F.array(host, *[F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), F.lit(n)), ".") for n in range(2, labels + 1)]))
-    paths = F.array_distinct(F.array(path, *[F.regexp_replace(F.concat(F.substring_index(path, "/", n), F.lit("/")), "/+$", "/") for n in range(1, levels + 1)]))
-    paths = F.filter(paths, lambda x: path.startswith(x))
+    parts, folders = F.split(host, r"\."), F.split(path, "/")
+    suffixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))).otherwise(F.array(host))
+    hosts = F.array_distinct(F.concat(F.array(F.concat(host, port), host), suffixes))
+    paths = F.transform(F.sequence(F.lit(1), F.size(folders) - 1), lambda n: F.concat(F.array_join(F.slice(folders, F.lit(1), n), "/"), F.lit("/")))
+    paths = F.array_distinct(F.concat(F.array(F.concat(path, query), path), paths))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
 
 
@@ -100,10 +107,10 @@ def possible(keys: DataFrame, listing: DataFrame, p: Bloom) -> DataFrame:
 
 
 def listed_urls(urls: DataFrame, listing: DataFrame, p: Bloom = Bloom()) -> DataFrame:
-    """Distinct url of ``urls`` with a key in ``listing`` (key: canonical host and path)."""
+    """Distinct url of ``urls`` with a key in ``listing`` (key: canonical host and path, with the query string or port if only that url is listed)."""
     listing = listing.where("key is not null").select("key").distinct()
     keys = urls.where("url is not null").select("url").distinct()
-    keys = keys.select("url", F.explode(F.array_distinct(keys_of(host_of(F.col("url")), path_of(F.col("url"))))).alias("key"))
+    keys = keys.select("url", F.explode(F.array_distinct(keys_of(host_of(F.col("url")), path_of(F.col("url")), query_of(F.col("url"))))).alias("key"))
     return possible(keys, listing, p).join(listing, "key").select("url").distinct()
 
 

@@ -256,6 +256,14 @@ def test_urls(spark):
     assert sorted((r.host, r.path, r.rule or "", r.verdict) for r in got if r.page_id == 8) == [("n.net", "", "", "allow"), ("net", "/", "net/", "block")]
 
 
+def test_listed_suffixes_folders_and_queries(spark):
+    listing = frame(spark, [("b.c.d.e.f.org/",), ("x.org/1/2/3/4/5/",), ("x.org/page?id=7",), ("y.org:8080/",)], "key string")
+    listed = ["http://a.b.c.d.e.f.org/p", "http://x.org/1/2/3/4/5/6/7", "http://w.x.org/page?id=7#top", "http://y.org:8080/a"]
+    free = ["http://c.d.e.f.org/", "http://x.org/1/2/3/4/6/", "http://x.org/page?id=8", "http://x.org/page", "http://y.org/a", "http://y.org:80/a"]
+    got = urls.listed_urls(frame(spark, [(u,) for u in listed + free], "url string"), listing)
+    assert sorted(r.url for r in got.collect()) == sorted(listed)
+
+
 @pytest.mark.parametrize("limit", [0, 64 << 20])
 def test_filter_keeps_every_listed_key(spark, limit):
     listing = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".org/")).alias("key"))
