@@ -3,8 +3,10 @@ cluster's shared folder, byte-level word hashing and graph components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,8 +54,57 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def give_back() -> None:
+    """Return freed memory of a worker to the machine: Arrow's pool, long tables of powers, the C heap."""
+    import pyarrow as pa
+
+    for base in [b for b, x in _powers.items() if len(x) > 1 << 16]:
+        del _powers[base]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library, without such a call
+        pass
+
+
+def lean(run):
+    """``run``, a function of Arrow batches, whose worker gives memory back after each partition.
+
+    Workers are kept for the stages that follow, so what one of them holds on to stands beside all later ones.
+    """
+
+    @wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
+def lean_group(run):
+    """The same for a function of one group's table."""
+
+    def out(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return out
+
+
+def lean_cogroup(run):
+    """The same for a function of two tables of a group."""
+
+    def out(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return out
 
 
 def fold(df: DataFrame, *names: str) -> DataFrame:

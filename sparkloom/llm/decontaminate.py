@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, column_bytes, fold, mix64, row_key
+from sparkloom.llm.common import Scratch, column_bytes, fold, lean, mix64, row_key
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Characters in 64 classes for the blocks' bit masks; the last one stands between texts and is in no block.
@@ -243,6 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Limits) -> DataFrame:
             by.setdefault(plain(r.text.encode()), set()).add(r.item_id)
         index = spark.sparkContext.broadcast(Index(sorted((sorted(ids), t) for t, ids in by.items() if t), p))
 
+        @lean
         def run(batches, index=index):
             import pyarrow as pa
 

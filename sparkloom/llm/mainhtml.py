@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fold
+from sparkloom.llm.common import fold, lean
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|=(?!\s*[\"'])|[^>=])*)(?:>|\Z)", re.S
@@ -300,6 +300,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row. A null or empty page, or one without content, gives an empty text; repeated rows and null ids stay."""
 
+    @lean
     def run(batches):
         import pyarrow as pa
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, components, fold, mix64, text_shingles
+from sparkloom.llm.common import Scratch, components, fold, lean, mix64, text_shingles
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,7 @@ def band_keys(sig: np.ndarray, p: MinHash) -> np.ndarray:
 def describe(docs: DataFrame, p: MinHash) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set, the band keys (null for empty sets) and the set's bitmap."""
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -109,6 +110,7 @@ def measure(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     Only texts named by a pair are shuffled; a hub's pairs arrive together, so its set is built once per run.
     """
 
+    @lean
     def run(batches):
         import pyarrow as pa
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fold, mix64, powers
+from sparkloom.llm.common import fold, lean, mix64, powers
 from sparkloom.llm.pieces import MARK, PIECE_MODEL, Pieces, load_pieces
 
 _SPACE, _ALIEN = ord(MARK), 0x110000  # a mark that the text itself holds is no space
@@ -219,7 +219,7 @@ class Lattice:
 _lattices: dict = {}
 
 
-def segment(docs: DataFrame, pieces: Pieces, p: Sampling = Sampling(), block: int = 3 << 20) -> DataFrame:
+def segment(docs: DataFrame, pieces: Pieces, p: Sampling = Sampling(), block: int = 1 << 20) -> DataFrame:
     """doc_id, pieces, n_pieces, lossless for each row: sampled ids and whether they decode to the very text.
 
     Null texts count as empty and give one piece, the space put before a text; a
@@ -229,6 +229,7 @@ def segment(docs: DataFrame, pieces: Pieces, p: Sampling = Sampling(), block: in
     shared = docs.sparkSession.sparkContext.broadcast((pieces, p))  # as large as the vocabulary file
     name = uuid.uuid4().hex
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -259,6 +260,7 @@ def join_pieces(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """doc_id, text: ``pieces`` decoded; a null or empty list gives an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import _TABLE, column_bytes, fold, mix64, powers
+from sparkloom.llm.common import _TABLE, column_bytes, fold, lean_cogroup, lean_group, mix64, powers
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -27,11 +27,18 @@ _INV = pow(_BASE, -1, 1 << 64)
 
 @dataclass(frozen=True)
 class Repeats:
-    """Windows of ``length`` bytes; a group of documents holds about ``group_bytes``, and so does a bucket."""
+    """Windows of ``length`` bytes, anchored at grams of ``gram`` bytes.
+
+    Documents are dealt into some ``groups`` groups (and anchors into as many buckets) of ``group_bytes`` at
+    least and ``most_bytes`` at most, so that the rows between them don't grow with the square of the input;
+    a group's texts are read in blocks of ``group_bytes``.
+    """
 
     length: int = 50
     gram: int = 26
+    groups: int = 4096
     group_bytes: int = 4 << 20
+    most_bytes: int = 32 << 20
 
 
 # --- difference cover -------------------------------------------------------
@@ -104,48 +111,103 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
 # --- anchors ----------------------------------------------------------------
 
 
+def string_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A hash of each string data[start:stop], the same wherever it stands; ``start`` ascends. Works on some ``most`` bytes at a time."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        end = max(at + 1, int(np.searchsorted(start, start[at] + most)))
+        lo = start[at]
+        a, b = start[at:end] - lo, stop[at:end] - lo
+        piece = data[lo : lo + b.max()]
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_TABLE[piece] * powers(_BASE, len(piece)), out=prefix[1:])
+            out[at:end] = mix64((prefix[b] - prefix[a]) * powers(_INV, len(piece) + 1)[a] + (b - a).astype(np.uint64))
+        at = end
+    return out
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    n = stop - start
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def equal_strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray, one: np.ndarray, two: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether the strings ``one`` and ``two`` (numbers of start and stop) are the same bytes."""
+    same = stop[one] - start[one] == stop[two] - start[two]
+    todo = np.flatnonzero(same & (one != two))
+    step = max(1, most // int((stop[one[todo]] - start[one[todo]]).max())) if len(todo) else 1
+    for at in range(0, len(todo), step):
+        part = todo[at : at + step]
+        a, b = one[part], two[part]
+        size = stop[a] - start[a]
+        equal = data[ranges(start[a], stop[a])] == data[ranges(start[b], stop[b])]
+        same[part] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return same
+
+
+def classes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings by class, and where in it a class begins: equal names propose a class, the bytes decide.
+
+    Within a class the strings keep their order. Names of strings that differ from the first one of their class are changed.
+    """
+    name = name.copy()
+    while True:
+        order = np.argsort(name, kind="stable")
+        new = np.concatenate(([True], name[order][1:] != name[order][:-1]))[: len(order)]
+        first = order[new][np.cumsum(new) - 1]
+        off = order[~equal_strings(data, start, stop, order, first)]
+        if not len(off):
+            return order, new
+        name[off] = mix64(name[off] + np.uint64(1))
+
+
 class Block:
-    """Texts laid end to end, with the anchor of every window that lies in one text."""
+    """Texts laid end to end, with the anchors of the windows that lie in one text."""
 
     def __init__(self, data: np.ndarray, cuts: np.ndarray, p: Repeats):
         self.data, self.cuts, self.p = data, cuts, p
-        n, k, w = len(data), p.gram, p.length - p.gram + 1
-        self.anchor = self.starts = np.zeros(0, np.int64)
-        if n < p.length:
-            return
-        with np.errstate(over="ignore"):
-            self.prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(_TABLE[data] * powers(_BASE, n), out=self.prefix[1:])
-            self.hash = mix64((self.prefix[k:] - self.prefix[:-k]) * powers(_INV, n - k + 1))
-        bits = np.uint64(max(1, int(n).bit_length()))
-        low = (self.hash >> bits << bits) | np.arange(len(self.hash), dtype=np.uint64)
-        span = 1
-        while span * 2 <= w:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if span < w:
-            low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
-        anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        inside = np.zeros(n + 1, np.int32)
-        size = np.diff(cuts)
-        ok = size >= p.length
-        np.add.at(inside, cuts[:-1][ok], 1)
-        np.add.at(inside, cuts[:-1][ok] + size[ok] - p.length + 1, -1)
-        self.starts = np.flatnonzero(np.cumsum(inside[:-1])[: len(anchor)] > 0)
-        self.anchor = anchor[self.starts]
-
-    def owned(self):
-        """For each anchor with windows of a text: its place, first window and number of windows."""
-        if not len(self.starts):
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        doc = np.searchsorted(self.cuts, self.starts, "right")
-        new = np.flatnonzero(np.concatenate(([True], (self.anchor[1:] != self.anchor[:-1]) | (doc[1:] != doc[:-1]))))
-        return self.anchor[new], self.starts[new], np.diff(np.append(new, len(self.starts)))
-
-    def string_hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.prefix[stop] - self.prefix[start]) * powers(_INV, len(self.data))[start] + (stop - start).astype(np.uint64))
+
+    def anchors(self, step: int = 1 << 18):
+        """For each anchor with windows of a text: its place, first window, number of windows and its gram's hash.
+
+        Works on ``step`` windows at a time, as nothing reaches beyond a window.
+        """
+        p, n = self.p, len(self.data)
+        k, w = p.gram, p.length - p.gram + 1
+        bits = np.uint64((step + p.length).bit_length())
+        got: list = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]]
+        for a in range(0, n - p.length + 1, step):
+            b = min(a + step, n - p.length + 1)
+            piece = self.data[a : b + p.length - 1]
+            with np.errstate(over="ignore"):
+                prefix = np.zeros(len(piece) + 1, np.uint64)
+                np.cumsum(_TABLE[piece] * powers(_BASE, len(piece)), out=prefix[1:])
+                hashes = mix64((prefix[k:] - prefix[:-k]) * powers(_INV, len(piece) - k + 1))
+            low = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
+            span = 1
+            while span * 2 <= w:
+                low = np.minimum(low[:-span], low[span:])
+                span *= 2
+            if span < w:
+                low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
+            # A window that begins less than its length before an edge lies in two texts.
+            edges = self.cuts[np.searchsorted(self.cuts, a, "right") : np.searchsorted(self.cuts, b + p.length - 1)]
+            crossing = np.zeros(b - a + 1, np.int64)
+            np.add.at(crossing, np.maximum(edges - p.length + 1 - a, 0), 1)
+            np.add.at(crossing, np.minimum(edges - a, b - a), -1)
+            starts = np.flatnonzero(np.cumsum(crossing[:-1]) == 0)
+            if not len(starts):
+                continue
+            anchor = (low[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+            place, first, count = anchor[new] + a, starts[new] + a, np.diff(np.append(new, len(starts)))
+            last = got[-1]
+            if len(last[0]) and last[0][-1] == place[0]:  # windows of one anchor on both sides of the step
+                last[2][-1] += count[0]
+                place, first, count, new = place[1:], first[1:], count[1:], new[1:]
+            got.append([place, first, count, hashes[anchor[new]]])
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
 def blocks_of(table, p: Repeats):
@@ -184,7 +246,8 @@ class Sizes:
 
     @staticmethod
     def of(n_bytes: int, p: Repeats) -> Sizes:
-        return Sizes(max(8, -(-n_bytes // p.group_bytes)), min(8, max(4, -(-(max(1, n_bytes // 10).bit_length() + 14) // 8))))
+        size = min(max(p.group_bytes, n_bytes // p.groups), max(p.group_bytes, p.most_bytes))
+        return Sizes(max(8, -(-n_bytes // size)), min(8, max(4, -(-(max(1, n_bytes // 10).bit_length() + 14) // 8))))
 
     def short(self, hashes: np.ndarray) -> np.ndarray:
         return hashes & np.uint64((1 << 8 * self.width) - 1)
@@ -204,9 +267,9 @@ def group_anchors(table, p: Repeats, z: Sizes):
     """Bucket rows of the anchors of a group's documents: those in one document, and those in more."""
     got, docs = [], []
     for row, ids, block in blocks_of(table, p):
-        place, first, _ = block.owned()
+        place, first, _, gram = block.anchors()
         if len(place):
-            got.append(z.short(block.hash[place]))
+            got.append(z.short(gram))
             docs.append(ids[np.searchsorted(block.cuts, first, "right") - 1])
     if not got:
         return
@@ -281,10 +344,10 @@ def group_contexts(table, marks: list, p: Repeats, z: Sizes):
         return
     marks = np.sort(np.concatenate([unpack(m, z.width) for m in marks]))
     for row, ids, block in blocks_of(table, p):
-        place, first, count = block.owned()
+        place, first, count, gram = block.anchors()
         if not len(place):
             continue
-        short = z.short(block.hash[place])
+        short = z.short(gram)
         at = np.minimum(np.searchsorted(marks, short), len(marks) - 1)
         hit = marks[at] == short
         place, first, count, short = place[hit], first[hit], count[hit], short[hit]
@@ -293,9 +356,8 @@ def group_contexts(table, marks: list, p: Repeats, z: Sizes):
         text = np.searchsorted(block.cuts, first, "right") - 1
         stop = first + count + p.length - 1
         with np.errstate(over="ignore"):
-            name = mix64(block.string_hash(first, stop) + (place - first).astype(np.uint64))
-        order = np.argsort(name, kind="stable")  # ids ascend within the block, so the smallest document is first
-        new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+            name = mix64(string_hashes(block.data, first, stop) + (place - first).astype(np.uint64))
+        order, new = classes(block.data, first, stop, name)  # ids ascend within the block, so the smallest document is first
         least = np.empty(len(order), np.int64)
         least[order] = ids[text[order[new]]][np.cumsum(new) - 1]
         other = ids[text] > least
@@ -311,11 +373,6 @@ def group_contexts(table, marks: list, p: Repeats, z: Sizes):
             yield bucket, columns_of(c), shrunk(block.data[ranges(first[part], stop[part])].tobytes()), b""
 
 
-def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    n = stop - start
-    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
-
-
 def bucket_spans(groups: list, records: list, texts: list, p: Repeats, most: int = 1 << 20):
     """(group, spans) of a bucket's windows that a smaller document has too."""
     parts = [records_of(r, CONTEXT) for r in records]
@@ -324,15 +381,10 @@ def bucket_spans(groups: list, records: list, texts: list, p: Repeats, most: int
     size = c["windows"].astype(np.int64) + p.length - 1
     stop = np.cumsum(size)
     start = stop - size
+    gram = start + c["anchor"]
+    anchor = string_hashes(data, gram, gram + p.gram)
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=prefix[1:])
-        inverse = powers(_INV, len(data) + 1)
-        string = lambda a, b: mix64((prefix[b] - prefix[a]) * inverse[a] + (b - a).astype(np.uint64))
-        gram = start + c["anchor"]
-        anchor = string(gram, gram + p.gram)
-        name = mix64(string(start, stop) * np.uint64(31) + anchor + c["anchor"].astype(np.uint64))
-    del prefix
+        name = mix64(string_hashes(data, start, stop) * np.uint64(31) + anchor + c["anchor"].astype(np.uint64))
     out_row, out_owner, out_start, out_stop = [], [], [], []
 
     def found(who, first, last):
@@ -341,8 +393,9 @@ def bucket_spans(groups: list, records: list, texts: list, p: Repeats, most: int
         out_start.append(c["start"][who].astype(np.int64) + first)
         out_stop.append(c["start"][who].astype(np.int64) + last + p.length)
 
-    order = np.lexsort((c["doc"], name))
-    new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+    by_doc = np.argsort(c["doc"], kind="stable")
+    order, new = classes(data, start[by_doc], stop[by_doc], name[by_doc])
+    order = by_doc[order]
     klass = np.cumsum(new) - 1
     head = order[new]
     doc = c["doc"][head]
@@ -411,8 +464,10 @@ def smaller_windows(data, start, stop, windows, doc, p: Repeats):
 
 
 def grouped(docs: DataFrame, z: Sizes) -> DataFrame:
+    """``docs`` dealt by id and text; rows without an id take no part, so they may go anywhere and are spread by their place."""
     carried = [c for c in docs.columns if c.startswith("carried_")]
-    return docs.select("doc_id", "text", *carried, F.xxhash64("text").alias("mark"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(z.groups)), F.lit(0)).alias("group"))
+    deal = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "text"))
+    return docs.select("doc_id", "text", *carried, F.xxhash64("text").alias("mark"), F.pmod(deal, F.lit(z.groups)).alias("group"))
 
 
 def removed_spans(docs: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame, Sizes]:
@@ -420,6 +475,7 @@ def removed_spans(docs: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame, Si
     z = Sizes.of(int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]), p)
     rows = grouped(docs, z)
 
+    @lean_group
     def anchors(table):
         import pyarrow as pa
 
@@ -427,12 +483,14 @@ def removed_spans(docs: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame, Si
         group = table.column("group")[0].as_py()
         return pa.table({"bucket": pa.array([g[0] for g in got], pa.int64()), "group": pa.array([group] * len(got), pa.int64()), "once": pa.array([g[1] for g in got], pa.binary()), "many": pa.array([g[2] for g in got], pa.binary())})
 
+    @lean_group
     def marks(table):
         import pyarrow as pa
 
         got = list(bucket_marks(*(table.column(c).to_pylist() for c in ("group", "once", "many")), z))
         return pa.table({"group": pa.array([g[0] for g in got], pa.int64()), "marks": pa.array([g[1] for g in got], pa.binary())})
 
+    @lean_cogroup
     def contexts(table, marked):
         import pyarrow as pa
 
@@ -442,6 +500,7 @@ def removed_spans(docs: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame, Si
         bucket = [-1 - group if i in local else g[0] for i, g in enumerate(got)]
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "group": pa.array([group] * len(got), pa.int64()), "records": pa.array([g[1] or g[3] for g in got], pa.binary()), "texts": pa.array([g[2] for g in got], pa.binary())})
 
+    @lean_group
     def spans(table):
         import pyarrow as pa
 
@@ -493,6 +552,7 @@ def per_text(docs: DataFrame, p: Repeats, finish, schema: str, carry: tuple = ()
     names = [c.split()[0] for c in schema.split(", ")]
     out = ", ".join([schema, *(f"{n} {docs.schema[n].dataType.simpleString()}" for n in carried)])
 
+    @lean_cogroup
     def run(table, marked):
         import pyarrow as pa
 

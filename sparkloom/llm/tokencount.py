@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fold
+from sparkloom.llm.common import fold, lean
 from sparkloom.llm.pieces import MARK, PIECE_MODEL, load_pieces
 
 #: Words are runs of letters, digits and marks; any other visible character is a word of its own.
@@ -103,6 +103,7 @@ def token_counts(docs: DataFrame, first, rest) -> DataFrame:
     vocabulary = docs.sparkSession.sparkContext.broadcast((first, rest))  # as large as the vocabulary file
     name = uuid.uuid4().hex
 
+    @lean
     def run(batches):
         import pyarrow as pa
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import _LOWER, column_bytes, fold, mix64, row_key, words_of
+from sparkloom.llm.common import _LOWER, column_bytes, fold, give_back, lean, mix64, row_key, words_of
 
 
 @dataclass(frozen=True)
@@ -184,7 +184,7 @@ class Net:
         return d
 
 
-def blocks(column, p: Toxicity, chars: int = 1 << 21):
+def blocks(column, p: Toxicity, chars: int = 1 << 20):
     """Texts in blocks: (row range, distinct words, token rows, token range of each text)."""
     data, offsets = column_bytes(column)
     row, rows = 0, len(offsets) - 1
@@ -276,13 +276,17 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Net:
     pick = lambda toxic, n: named.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(pick(1, p.positives).union(pick(0, p.negatives)))  # bounded by the two limits
     rows = sorted(fold(docs, "doc_id", "text").join(chosen, "doc_id").where("text is not null").select("doc_id", "toxic", "text").collect())
-    return train([r.text for r in rows], [r.toxic for r in rows], p)
+    net = train([r.text for r in rows], [r.toxic for r in rows], p)
+    del rows
+    give_back()
+    return net
 
 
 def scores(docs: DataFrame, net: Net) -> DataFrame:
     """key, score for every row of ``docs`` (key, text). Null and empty texts score 0."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
