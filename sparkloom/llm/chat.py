@@ -12,12 +12,13 @@ import hashlib
 import re
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import fold
+from sparkloom.llm.common import fold, lean
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -79,20 +80,16 @@ def loss_mask(r: Rendered, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mask & (end > begin)
 
 
-def loss_spans(r: Rendered, begin: np.ndarray, end: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
-    """Characters under the mask as runs: masked token spans cut to the turns that they meet."""
-    out: list[tuple[int, int]] = []
-    for k in np.flatnonzero(mask):
-        first = np.searchsorted(r.ends, begin[k], "right")
-        while first < len(r.starts) and r.starts[first] < end[k]:
-            a, b = max(int(begin[k]), int(r.starts[first])), min(int(end[k]), int(r.ends[first]))
-            if r.learn[first] and a < b:
-                if out and a <= out[-1][1]:
-                    out[-1] = (out[-1][0], max(b, out[-1][1]))
-                else:
-                    out.append((a, b))
-            first += 1
-    return out
+def loss_spans(r: Rendered, begin: np.ndarray, end: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the characters under the mask: masked tokens cut to their turn, where they touch as one.
+
+    A token meets one learned turn, as the marks between turns are tokens of their own; binary search finds it.
+    """
+    starts, ends, begin, end = r.starts[r.learn], r.ends[r.learn], begin[mask], end[mask]
+    turn = np.searchsorted(ends, begin, "right")
+    a, b = np.maximum(begin, starts[turn]), np.minimum(end, ends[turn])
+    new = np.flatnonzero(np.concatenate(([True], (turn[1:] != turn[:-1]) | (a[1:] > b[:-1])))[: len(a)])
+    return a[new], b[np.append(new[1:] - 1, len(a) - 1)[: len(new)]]
 
 
 class Encoder:
@@ -107,8 +104,9 @@ class Encoder:
     def encode(self, texts: list[str]):
         """For each text the ids and the sorted starts and ends of the tokens, in characters."""
         for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-            yield e.ids, spans[:, 0], spans[:, 1]
+            offsets = e.offsets
+            spans = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+            yield np.array(e.ids, np.int32), spans[:, 0], spans[:, 1]
 
 
 _encoders: dict = {}
@@ -129,6 +127,7 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, learn: st
     rows = fold(conversations, "conv_id", "turn", "role", "text")
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", empty("role").alias("role"), empty("text").alias("text")))).alias("turns"))
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
@@ -140,14 +139,19 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, learn: st
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
                 chats = [render([(t["role"], t["text"]) for t in c], learn) for c in part.column("turns").to_pylist()]
-                ids, masks, spans = [], [], []
+                ids, masks, cuts, begins, stops = [], [], [0], [], []
                 for r, (i, begin, end) in zip(chats, encoder.encode([r.text for r in chats]), strict=True):
                     mask = loss_mask(r, begin, end)
                     ids.append(i)
                     masks.append(mask)
-                    spans.append([{"start": a, "stop": z} for a, z in loss_spans(r, begin, end, mask)])
-                span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                columns = [part.column("conv_id"), pa.array([r.text for r in chats], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array(spans, span)]
+                    a, z = loss_spans(r, begin, end, mask)
+                    begins.append(a)
+                    stops.append(z)
+                    cuts.append(cuts[-1] + len(a))
+                span = pa.StructArray.from_arrays([pa.array(np.concatenate(begins)), pa.array(np.concatenate(stops))], ["start", "stop"])
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(m) for m in masks]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), t)) for x, t in ((ids, pa.int32()), (masks, pa.bool_()))]
+                columns = [part.column("conv_id"), pa.array([r.text for r in chats], pa.string()), *lists, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), span)]
                 yield pa.RecordBatch.from_arrays(columns, ["conv_id", "text", "ids", "mask", "loss_spans"])
 
     return turns.mapInArrow(run, "conv_id long, text string, ids array<int>, mask array<boolean>, loss_spans array<struct<start:long,stop:long>>")
@@ -156,6 +160,7 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER, learn: st
 def chat_digests(formatted: DataFrame) -> DataFrame:
     """Digest columns, read back from the formatted text and the spans under its mask."""
 
+    @lean
     def run(batches):
         import pyarrow as pa
 
