@@ -1,11 +1,13 @@
 """Main text of web pages by composite text density.
 
-Parts that are something else by their tag (menus, scripts ...) are left out of
-the tree, and so are those that only a class, an id or a form tag calls so, unless
-they hold the article or most of the text. Every remaining node gets its characters per tag,
-adjusted for links, and the sum of its children's densities. The node with the
-largest sum, and the least density on the path from body to it as a threshold,
-tell which subtrees are content.
+Every node gets its characters per tag, adjusted for links, and the sum of its
+children's densities. The node with the largest sum, and the least density on
+the path from body to it as a threshold, tell which subtrees are content. Names
+(menu, footer, an advert's class, article ...) only add to this: text under a
+name that speaks against it counts for less in the densities, unless the part
+holds the article or most of the text, and such parts are left out of a
+content subtree; an article element around chosen text is taken whole if most
+of it is no link.
 """
 
 from __future__ import annotations
@@ -35,87 +37,97 @@ _ENDS_P = _BLOCK - frozenset("body html caption tbody td tfoot th thead tr legen
 #: Elements that a new element of the kind ends, and the elements that such a search stays inside.
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 _SCOPE = frozenset("ul ol dl table select html body article section div aside nav main td th".split())
+#: Elements that show no text of the page, or a form's controls.
+_DROP_TAG = frozenset("button select datalist input textarea script style noscript noembed noframes template iframe object embed svg canvas audio video head title xmp".split())
 # Names by which parts of a page say that they aren't its article.
-_DROP_TAG = frozenset("nav footer aside button select datalist input textarea script style noscript noembed noframes template iframe object embed svg canvas audio video dialog menu head title xmp".split())
-_DROP_NAME = frozenset(
+_OTHER_TAG = frozenset("nav footer aside dialog menu form".split())
+_OTHER_NAME = frozenset(
     "ad ads advert adverts advertisement adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe sidebar aside widget widgets related recommended share sharing social breadcrumb breadcrumbs menu menubar nav navbar navigation footer comment comments disqus respond replies login signup pagination pager".split()
 )
-_DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+_OTHER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Words that make a name tell of a state (has-sidebar, no-share) or of a frame around something (sidebar-wrap).
+_STATE = frozenset("has no with without is not open enabled disabled wrap wrapper container layout page".split())
 #: Names of parts whose own articles aren't the page's if another article stands outside.
 _OTHERS = frozenset("comment comments disqus respond replies related recommended".split())
 
 
+#: What a character counts for under a name that speaks against it, and outside the article elements of a page that has some.
+NAMED, OUTSIDE = 1 / 32, 1 / 4
+
+
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "named", "parent", "parts", "tag", "tags", "total", "under")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "named", "other", "parent", "parts", "plain", "tag", "tags", "total", "under", "weight")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts, self.kids = tag, parent, [], []
         self.under = tag in ("article", "main") or bool(parent and parent.under)
         self.named: set | None = None  # the words that name the node something else
+        self.other, self.weight = False, 1.0
 
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether a node is dropped whatever it holds."""
-    if tag in _DROP_TAG or tag == "header" and not inside:
+def unwanted(tag: str, attributes: str) -> bool:
+    """Whether a node is dropped whatever it holds, as it isn't shown."""
+    if tag in _DROP_TAG:
         return True
-    if not attributes:
-        return False
     for m in _ATTRIBUTE.finditer(attributes):
-        name = (m[1] or m[5]).lower()
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in _DROP_ROLE or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return tag not in ("html", "body")
     return False
 
 
-def named(tag: str, attributes: str) -> set | None:
+def named(tag: str, attributes: str, inside: bool) -> set | None:
     """The words by which a node calls itself something else; null without one."""
     if tag in ("html", "body", "article", "main"):
         return None
-    words = {"form"} if tag == "form" else set()
+    words = {tag} if tag in _OTHER_TAG or tag == "header" and not inside else set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words |= _DROP_NAME.intersection(_NAME.findall(value))
-        elif name == "role" and value == "form":
-            words.add("form")
+            for one in value.split():
+                parts = _NAME.findall(one)
+                if not _STATE.intersection(parts):
+                    words |= _OTHER_NAME.intersection(parts)
+        elif name == "role" and value in _OTHER_ROLE:
+            words.add(value)
     return words or None
 
 
-def prune(root: Node) -> None:
-    """Drop the nodes with names, but for those that hold an article or main element or most of the text outside links.
+def weigh(root: Node, names: bool = True) -> list[Node]:
+    """What a character of each node counts for; the nodes, children first. Without ``names`` all count alike.
 
-    Where an article stands outside all such nodes, comments and related articles go even so, and text
-    beside it (an advert longer than a short article) doesn't stay for its length.
+    A named part keeps its weight if it holds an article or main element, or most of the text outside links
+    (of its article, or of a page without one), but for comments and related articles beside an article.
     """
     order = postorder(root)
-    if not any(n.named for n in order):
-        return
-    text: dict[int, int] = {}
     landmark: dict[int, bool] = {}
     for n in order:
         own = sum(len("".join(p.split())) for p in n.parts if p.__class__ is str)
-        text[id(n)] = 0 if n.tag == "a" else own + sum(text[id(k)] for k in n.kids)
-        landmark[id(n)] = n.tag in ("article", "main") or any(landmark[id(k)] for k in n.kids)
-    post, main, todo = False, False, [root]
+        n.plain = 0 if n.tag == "a" else own + sum(k.plain for k in n.kids)
+        landmark[id(n)] = n.tag in ("article", "main") and n.plain > 0 or any(landmark[id(k)] for k in n.kids)
+    if not names:
+        return order
+    post = main = False
+    todo = [root]
     while todo:
         n = todo.pop()
-        post = post or n.tag == "article" and text[id(n)] > 0
-        main = main or n.tag == "main" and text[id(n)] > 0
+        post = post or n.tag == "article" and n.plain > 0
+        main = main or n.tag == "main" and n.plain > 0
         todo += [k for k in n.kids if not k.named]
-    half, todo = text[id(root)] / 2, [root]
-
-    def stays(n: Node) -> bool:
-        most = text[id(n)] > half and (n.under or not (post or main))
-        return (landmark[id(n)] or most) and not (post and n.named & _OTHERS)
-
-    while todo:
-        n = todo.pop()
-        gone = {id(k) for k in n.kids if k.named and not stays(k)}
-        if gone:
-            n.parts = [p for p in n.parts if p.__class__ is str or id(p) not in gone]
-            n.kids = [k for k in n.kids if id(k) not in gone]
-        todo += n.kids
+    half = root.plain / 2
+    for n in reversed(order):  # parents first
+        n.weight = n.parent.weight if n.parent else OUTSIDE if post or main else 1.0
+        if n.tag == "article" and post or n.tag == "main" and not post and main:
+            n.weight = max(n.weight, 1.0) if not n.other else n.weight
+        n.other = bool(n.parent and n.parent.other)
+        if n.named:
+            most = n.plain > half and (n.under or not (post or main))
+            if not (landmark[id(n)] or most) or post and n.named & _OTHERS:
+                n.weight *= NAMED
+                n.other = True
+        elif n.other and n.tag in ("article", "main"):
+            n.weight = n.parent.weight
+    return order
 
 
 def parse(page: str) -> Node:
@@ -172,7 +184,7 @@ def parse(page: str) -> Node:
         if tag == "body":
             while node.tag not in ("html", "#root"):
                 node = node.parent
-        drop = unwanted(tag, m[3], node.under)
+        drop = unwanted(tag, m[3])
         if tag in _RAW:
             end = raw_end(page, tag, at, for_end)
             if not drop:
@@ -189,7 +201,7 @@ def parse(page: str) -> Node:
                 skipped.append(tag)
         else:
             child = Node(tag, node)
-            child.named = named(tag, m[3]) if m[3] or tag == "form" else None
+            child.named = named(tag, m[3], node.under)
             node.kids.append(child)
             node.parts.append(child)
             node = child
@@ -224,51 +236,68 @@ def postorder(root: Node) -> list[Node]:
     return out[::-1]
 
 
-def measure(root: Node) -> list[Node]:
-    """Characters, tags and densities of every node; the nodes, children first."""
-    order = postorder(root)
+def measure(root: Node, names: bool = True) -> list[Node]:
+    """Weighted characters, tags and densities of every node; the nodes, children first."""
+    order = weigh(root, names)
     for n in order:
         own = sum(len("".join(p.split())) for p in n.parts if p.__class__ is str)
-        n.chars = own + sum(k.chars for k in n.kids)
+        n.chars = own * n.weight + sum(k.chars for k in n.kids)
         n.tags = sum(k.tags + 1 for k in n.kids)
         n.link_chars = n.chars if n.tag == "a" else sum(k.link_chars for k in n.kids)
         n.link_tags = sum(k.link_tags + (k.tag == "a") for k in n.kids)
-    whole = root.chars or 1
-    share = root.link_chars / whole
+    share = root.link_chars / (root.chars or 1)
     for n in order:
-        c, t, lc, lt = n.chars, n.tags or 1, n.link_chars, n.link_tags or 1
-        if not c:
-            n.density = 0.0
-        else:
-            base = math.log(math.log(c / ((c - lc) or 1) * lc + share * c + math.e))
-            n.density = c / t * (max(0.0, math.log(c / (lc or 1) * t / lt)) / base if base > 1e-9 else 1.0)
+        n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
         n.total = sum(k.density for k in n.kids)
     return order
 
 
-def content(root: Node) -> set[int]:
-    """Ids of the top nodes of the content."""
-    order = measure(root)
+def density(chars: float, tags: int, link_chars: float, link_tags: int, share: float) -> float:
+    """Characters per tag, times the logarithm of (characters per link character times tags per link) to a base that
+    grows with the links among the characters; ``share`` is that of links in the whole page.
+
+    The least base is the logarithm of e squared: with e itself it would be near 1 for short parts, and their density without bounds.
+    """
+    if not chars:
+        return 0.0
+    tags, link_tags = tags or 1, link_tags or 1
+    rest = chars - link_chars
+    base = math.log(math.log(chars / (rest if rest >= 1 else 1) * link_chars + share * chars + math.e**2))
+    ratio = chars / (link_chars or 1) * tags / link_tags
+    return chars / tags * math.log(max(1.0, ratio)) / base
+
+
+def content(root: Node, names: bool = True) -> set[int]:
+    """Ids of the top nodes of the content: the subtree with the largest sum, and others of some structure that
+    reach the threshold with their density and with their sum."""
+    order = measure(root, names)
     if not root.chars:
         return set()
     body = next((n for n in reversed(order) if n.tag == "body"), root)
     inside = postorder(body)
-    best = max(reversed(inside), key=lambda n: n.total)
+    best = max((n for n in reversed(inside) if not n.other), key=lambda n: n.total, default=body)
     if not best.total:
-        best = max(reversed(inside), key=lambda n: n.density)
+        best = max((n for n in reversed(inside) if not n.other), key=lambda n: n.density, default=body)
     threshold = min(n.density for n in path_to(best, body))
     top: dict[int, Node] = {}
     for n in inside:  # best subtree at or below each node
-        top[id(n)] = max([n, *(top[id(k)] for k in n.kids)], key=lambda x: x.total)
-    chosen = set()
+        top[id(n)] = max([n, *(top[id(k)] for k in n.kids if not k.other)], key=lambda x: x.total)
+    chosen = {id(widened(best, names))}
     for n in inside:
-        if n.density >= threshold and n.chars:
-            x = top[id(n)]
-            landmark = next((y for y in lineage(x) if y.tag == "article"), None) or next((y for y in lineage(x) if y.tag == "main"), None)
-            chosen.add(id(landmark or x))
+        if n.density >= threshold and top[id(n)].total >= threshold and n.chars and not n.other:
+            chosen.add(id(widened(top[id(n)], names)))
     return chosen
 
 
+def widened(node: Node, names: bool) -> Node:
+    """The article element around the node, else the main element, if most of its text is no link; else the node."""
+    for tag in ("article", "main") if names else ():
+        for n in lineage(node):
+            if n.tag == tag and 2 * n.link_chars < n.chars:
+                return n
+    return node
+
+
 def path_to(node: Node, body: Node):
     for n in lineage(node):
         yield n
@@ -276,13 +305,12 @@ def path_to(node: Node, body: Node):
             return
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the content in page order, white space single, joined by one space."""
+def main_text(page: str | None, names: bool = True) -> str:
+    """Blocks of the content in page order, white space single, joined by one space. ``names``: whether names add to the densities."""
     if not page:
         return ""
     root = parse(page)
-    prune(root)
-    chosen = content(root)
+    chosen = content(root, names)
     out: list[str] = []
     todo: list = [(root, False)]
     while todo:  # depth first with a stack of our own, as pages nest deeply
@@ -291,7 +319,7 @@ def main_text(page: str | None) -> str:
             if on:
                 out.append(x)
             continue
-        on = on or id(x) in chosen
+        on = not x.other and (on or id(x) in chosen)
         edge = [(" ", on)] if x.tag in _BLOCK else []
         todo += [*edge, *((p, on) for p in reversed(x.parts)), *edge]
     return " ".join("".join(out).split())

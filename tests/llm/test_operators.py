@@ -419,3 +419,71 @@ def test_samples_follow_the_lattice():
         seen[tuple(ids[a:b].tolist())] = seen.get(tuple(ids[a:b].tolist()), 0) + 1
     total = sum(weight.values())
     assert set(seen) <= set(weight) and max(abs(seen.get(w, 0) / n - v / total) for w, v in weight.items()) < 0.02
+
+
+def slow_density(node):
+    """(characters, tags, link characters, link tags) of a tree without names, straight from their definitions."""
+    own = len("".join("".join(p for p in node.parts if isinstance(p, str)).split()))
+    inner = [(k, slow_density(k)) for k in node.kids]
+    chars = own + sum(x[0] for _, x in inner)
+    links = chars if node.tag == "a" else sum(x[2] for _, x in inner)
+    return chars, sum(x[1] + 1 for _, x in inner), links, sum(x[3] + (k.tag == "a") for k, x in inner)
+
+
+def test_densities_and_threshold():
+    rng = random.Random(20)
+
+    def part(depth):
+        tag = rng.choice(["div", "p", "a", "section", "ul", "span"])
+        inside = "".join(part(depth - 1) if depth and rng.random() < 0.5 else "w " * rng.randint(0, 30) for _ in range(rng.randint(0, 4)))
+        return f"<{tag}>{inside}</{tag}>"
+
+    for _ in range(60):
+        root = mainhtml.parse(f"<body>{''.join(part(3) for _ in range(4))}</body>")
+        order = mainhtml.measure(root, names=False)
+        chars, _, links, _ = slow_density(root)
+        for n in order:
+            c, t, lc, lt = slow_density(n)
+            want = 0.0
+            if c:
+                base = np.log(np.log(c / max(1, c - lc) * lc + links / chars * c + np.e**2))
+                want = c / max(1, t) * max(0.0, np.log(c / max(1, lc) * max(1, t) / max(1, lt))) / base
+            assert abs(n.density - want) < 1e-9 * max(1, want) and abs(n.total - sum(k.density for k in n.kids)) < 1e-9
+        body = next((n for n in order if n.tag == "body"), root)
+        inside = mainhtml.postorder(body)
+        chosen = mainhtml.content(root, names=False)
+        best = max(n.total for n in inside)
+        if best:
+            tops = [n for n in inside if n.total == best]
+            least = min(min(x.density for x in mainhtml.path_to(n, body)) for n in tops)
+            assert any(id(n) in chosen for n in tops)
+            assert all(n.total >= least for n in inside if id(n) in chosen)
+
+
+def test_density_decides():
+    """No name or landmark tells these parts apart, so taking all that isn't named would keep the boilerplate."""
+    body = "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(5))
+    want = " ".join(f"{('word ' * 60)}{k}" for k in range(5))
+    links = "".join(f'<li><a href="{k}">entry {k}</a></li>' for k in range(20))
+    page = f'<body><div class="top">we value your visit</div><div class="x1"><ul>{links}</ul></div><div class="x2">{body}</div><div class="x3"><span>all rights</span> reserved</div></body>'
+    assert mainhtml.main_text(page) == mainhtml.main_text(page, names=False) == want
+    short = '<body><div class="ad">buy this now, it is the best there is</div><article><h1>Two</h1><p>words</article><footer>long words of a footer here</footer></body>'
+    assert mainhtml.main_text(short) == "Two words" != mainhtml.main_text(short, names=False)
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "page-with-comments", "no-share", "sidebar", "share"])
+def test_names_yield_to_most_of_the_text(name):
+    body = "".join(f"<p>{'word ' * 60}{k}</p>" for k in range(5))
+    want = " ".join(f"{('word ' * 60)}{k}" for k in range(5))
+    end = '<div class="comments"><p>first!</p><p>second one</p></div><footer>imprint</footer>'
+    assert mainhtml.main_text(f'<body><div class="{name}"><nav><a href="/">home</a></nav><div>{body}</div>{end}</div></body>') == want
+    assert mainhtml.main_text(f'<body><div class="{name}"><article>{body}{end}</article></div></body>') == want
+
+
+def test_main_text_edges(spark):
+    kind = "page_id long, url string, html string"
+    assert mainhtml.extract(frame(spark, [], kind)).collect() == []
+    text = "word " * 300_000
+    assert mainhtml.main_text(f"<body><article><p>{text}</p></article></body>") == text.strip()
+    many = "<p>one two</p>" * 20_000
+    assert mainhtml.main_text(f"<body><nav>menu</nav>{many}</body>") == " ".join(["one two"] * 20_000)
