@@ -243,6 +243,46 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
 
 
+def cells(lists: DataFrame, block: int, by: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of each list (key) with itself: on key, i and j each pair of rows meets once for each order.
+
+    A list of one row is left out; one of more than ``block`` rows is dealt by ``by`` into blocks, so that no task takes a whole hot list.
+    """
+    size = lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = lists.join(size, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size")
+    own, every = F.pmod(by, F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.withColumn("i", own).withColumn("j", every), rows.withColumn("j", own).withColumn("i", every)
+
+
+def meet(rows: DataFrame, few: DataFrame, by: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+    """``rows`` joined on key with ``few``, which has a row for each key; a hot key's rows are dealt by ``by`` to ``salts`` places."""
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(by, F.lit(salts)).cast("int")).join(few, ["key", "salt"], how).drop("salt")
+
+
+def runs(batches, keys: list):
+    """(batch, cuts): batches of whole runs of rows with equal ``keys`` (whole numbers), and where each run begins and ends.
+
+    The rows come sorted by ``keys``; a run may span the batches that come in.
+    """
+    import pyarrow as pa
+
+    left = None
+    for b in batches:
+        if left is not None:
+            b = pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0]
+        left = b
+        if not len(b):
+            continue
+        columns = [b.column(k).to_numpy() for k in keys]
+        edges = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1
+        if len(edges):
+            yield b.slice(0, int(edges[-1])), np.append(0, edges)
+            left = b.slice(int(edges[-1]))
+    if left is not None and len(left):
+        yield left, np.array([0, len(left)])
+
+
 def text_blocks(column, chars: int = 1 << 21):
     """Texts of an Arrow string column in blocks of about ``chars`` bytes.
 

@@ -15,18 +15,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, components, fold, lean, mix64, text_shingles
+from sparkloom.llm.common import Scratch, components, fold, lean, meet, mix64, runs, text_shingles
 
 
 @dataclass(frozen=True)
 class MinHash:
-    """bands x rows coordinates: a pair at similarity 0.8 is missed with (1 - 0.8**5)**32, 3 in a million."""
+    """bands x rows coordinates: a pair at similarity 0.8 is missed with (1 - 0.8**5)**32, 3 in a million.
+
+    Sets of a bucket are compared in blocks of ``block``, each pair of blocks as work of its own.
+    """
 
     words: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
     rounds: int = 2
+    block: int = 256
     log_universe: int = 20
     seed: int = 7
 
@@ -98,10 +102,71 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def may_link(n_x, bits_x, n_y, bits_y, p: MinHash):
-    """False only if the bitmaps prove too small an intersection: a bit that one set lacks is a shingle that it lacks."""
-    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: F.bit_count(s.bitwiseAND(F.bitwise_not(t)))), F.lit(0), lambda k, v: k + v)
-    shared = F.least(n_x - lacks(bits_x, bits_y), n_y - lacks(bits_y, bits_x))
-    return 100 * shared >= p.percent * (n_x + n_y - shared)
+    """False only if the bitmaps prove too small an intersection: a bit that one set lacks is a shingle that it lacks.
+
+    Set sizes and rows of zeros and ones of two lists of sets; a row of the result for each of the first.
+    """
+    both = bits_x @ bits_y.T
+    shared = np.minimum((n_x - bits_x.sum(axis=1))[:, None] + both, (n_y - bits_y.sum(axis=1))[None, :] + both)
+    return 100 * shared >= p.percent * (n_x[:, None] + n_y[None, :] - shared)
+
+
+def plausible_pairs(state: DataFrame, p: MinHash) -> DataFrame:
+    """Distinct pairs (a < b) of members (rep) of a bucket (key) that are in different components (part) and may link.
+
+    Left out are pairs with a bucket's hub, which are tried already, and pairs that provably can't link: by their sizes,
+    by their similarities to the hub, as Jaccard distance is a metric, and by their bitmaps, whose common bits are a
+    matrix product. Bitmaps and similarities say nothing of an id with several ``sets``.
+
+    Most members of a large bucket are in one component, and needn't meet each other: the largest component of a bucket
+    and its other members are dealt into blocks of ``block``; each pair of blocks of both, and of the others, is a run.
+    """
+
+    @lean
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, cuts in runs(batches, ["key", "i", "j"]):
+            rep, n, part, sets, own, i, j, most = (batch.column(c).to_numpy() for c in ("rep", "n", "part", "sets", "own", "i", "j", "most"))
+            first_of = i - most  # below 0 if the run's first block is of the largest component
+            main = batch.column("main").to_numpy(zero_copy_only=False)
+            hub, sim = batch.column("hub").to_numpy(), batch.column("sim").to_numpy(zero_copy_only=False)
+            bits = np.unpackbits(batch.column("bits").flatten().to_numpy().view(np.uint8)).reshape(len(batch), -1)
+            first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                at = np.arange(lo, hi)
+                if first_of[lo] < 0:
+                    x, y = at[main[lo:hi]], at[~main[lo:hi]]
+                else:
+                    x, y = at[own[lo:hi] == first_of[lo]], at[own[lo:hi] == j[lo]]
+                apart = (part[x][:, None] != part[y][None, :]) & (rep[x] != hub[x])[:, None] & (rep[y] != hub[y])[None, :]
+                if first_of[lo] == j[lo]:
+                    apart = np.triu(apart, 1)
+                big, small = np.maximum(n[x][:, None], n[y][None, :]), np.minimum(n[x][:, None], n[y][None, :])
+                apart &= 100 * small >= p.percent * big
+                if not apart.any():
+                    continue
+                one = (sets[x] == 1)[:, None] & (sets[y] == 1)[None, :]
+                near = ~(np.abs(sim[x][:, None] - sim[y][None, :]) > 1 - p.percent / 100 + 1e-9)  # also if one isn't known
+                may = may_link(n[x].astype(np.float64), bits[x].astype(np.float32), n[y].astype(np.float64), bits[y].astype(np.float32), p)
+                u, v = np.nonzero(apart & (near & may | ~one))
+                first.append(np.minimum(rep[x[u]], rep[y[v]]))
+                second.append(np.maximum(rep[x[u]], rep[y[v]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
+
+    blocks = lambda c: F.ceil(c / p.block).cast("int")
+    size = state.groupBy("key", "part").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all"))
+    size = size.select("key", F.col("top.part").alias("top"), blocks(F.col("top.k")).alias("most"), blocks(F.col("all") - F.col("top.k")).alias("rest"))
+    rows = meet(state, size, F.xxhash64("rep")).withColumn("main", F.col("part") == F.col("top"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("most")).otherwise(F.col("rest"))).cast("int"))
+    count, own = lambda c: F.sequence(F.lit(0), F.col(c) - 1), F.col("own")
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    with_main = F.transform(count("most"), lambda k: cell(k, own))
+    with_rest = F.transform(count("rest"), lambda k: cell(F.col("most") + F.least(own, k), F.greatest(own, k)))
+    cells = F.when(F.col("main"), F.transform(count("rest"), lambda k: cell(own, k))).otherwise(F.concat(with_main, with_rest))
+    rows = rows.withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", "own", "most", "main", "rep", "n", "hub", "sim", "part", "sets", "bits")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def measure(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
@@ -163,7 +228,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
     shared = scratch.table(members.join(hubs, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")))
     fits = lambda x, y: 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
-    texts = scratch.table(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    texts = scratch.table(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct())
     pairs = shared.where((F.col("rep") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     tried = scratch.table(measure(pairs, texts, p))
     state = scratch.table(
@@ -173,20 +238,15 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     parts = scratch.table(components(links, scratch))
     for turn in range(p.rounds):
         state = scratch.table(mixed_buckets(state, parts))
+        if state.isEmpty():
+            break
         if turn < p.rounds - 1:
             draw = F.xxhash64("key", "rep", F.lit(turn))
             other = state.groupBy("key").agg(F.min_by(F.struct("rep", "n", "part"), draw).alias("x"))
-            pairs = state.join(other, "key").where((F.col("part") != F.col("x.part")) & fits(F.col("n"), F.col("x.n")) & (F.col("rep") != F.col("hub")) & (F.col("x.rep") != F.col("hub"))).select(F.col("x.rep").alias("a"), F.col("rep").alias("b"))
+            pairs = meet(state, other, F.xxhash64("rep")).where((F.col("part") != F.col("x.part")) & fits(F.col("n"), F.col("x.n")) & (F.col("rep") != F.col("hub")) & (F.col("x.rep") != F.col("hub"))).select(F.col("x.rep").alias("a"), F.col("rep").alias("b"))
         else:
             state = scratch.table(state.join(classes.select("rep", "bits").groupBy("rep").agg(F.min("bits").alias("bits"), F.count("*").alias("sets")), "rep"))
-            x, y = state.alias("x"), state.alias("y")
-            plausible = may_link(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits"), p) | (F.col("x.sets") > 1) | (F.col("y.sets") > 1)
-            far = F.abs(F.col("x.sim") - F.col("y.sim")) > 1 - p.percent / 100 + 1e-9
-            pairs = (
-                x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.n"), F.col("y.n")) & ~F.coalesce(far & (F.col("x.sets") == 1) & (F.col("y.sets") == 1), F.lit(False)) & plausible)
-                .where("x.rep <> x.hub and y.rep <> y.hub")
-                .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-            )
+            pairs = plausible_pairs(state, p)
         found = scratch.table(measure(pairs.distinct(), texts, p))
         parts = scratch.table(components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.where("linked").select("a", "b")), scratch))
     named = classes.select("set_a", "set_b", "n_shingles", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -202,7 +262,7 @@ def mixed_buckets(state: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with their component as ``part``."""
     state = state.drop("part").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     mixed = state.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
-    return state.join(mixed, "key", "left_semi")
+    return meet(state, mixed, F.xxhash64("rep"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

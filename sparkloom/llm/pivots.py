@@ -12,10 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, components, fold, lean
+from sparkloom.llm.common import Scratch, cells, components, fold, lean
 
 
 @dataclass(frozen=True)
@@ -184,17 +184,6 @@ def inverted_lists(indexed: DataFrame, kind: str, p: Pivots) -> DataFrame:
     return made.withColumn("key", F.xxhash64("label", "key")).drop("label")
 
 
-def cells(lists: DataFrame, block: int, by: Column) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join of each list (key) with itself: on key, i and j each pair of rows meets once for each order.
-
-    A list of one row is left out; one of more than ``block`` rows is dealt by ``by`` into blocks, so that no task takes a whole hot list.
-    """
-    size = lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = lists.join(size, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size")
-    own, every = F.pmod(by, F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.withColumn("i", own).withColumn("j", every), rows.withColumn("j", own).withColumn("i", every)
-
-
 def candidates(indexed: DataFrame, kind: str, scratch: Scratch, p: Pivots) -> DataFrame:
     """Pairs (a < b) of classes that meet in a list and share enough pivots.
 

@@ -79,17 +79,39 @@ def test_minhash_edges(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
 
-def test_bitmaps_never_rule_out_a_link(spark):
+def test_bitmaps_never_rule_out_a_link():
     p, rng = minhash.MinHash(), random.Random(4)
-    rows = []
+    links = out = 0
+    unpacked = lambda x: np.unpackbits(minhash.bitmap(x).view(np.uint8)).astype(np.float32)[None]
     for _ in range(200):
         x = np.array(rng.sample(range(10**15), rng.randint(1, 300)), np.uint64)
         y = np.unique(np.concatenate((x[: rng.randint(0, len(x))], np.array(rng.sample(range(10**15), rng.randint(0, 60)), np.uint64))))
         if len(y):
             both = len(np.intersect1d(x, y))
-            rows.append((len(x), minhash.bitmap(x).tolist(), len(y), minhash.bitmap(y).tolist(), 100 * both >= 80 * (len(x) + len(y) - both)))
-    got = frame(spark, rows, "n long, a array<long>, m long, b array<long>, link boolean").withColumn("may", minhash.may_link(F.col("n"), F.col("a"), F.col("m"), F.col("b"), p))
-    assert got.where("link").count() > 5 and got.where("link and not may").count() == 0 and got.where("not may").count() > 20
+            link = 100 * both >= 80 * (len(x) + len(y) - both)
+            may = minhash.may_link(np.array([float(len(x))]), unpacked(x), np.array([float(len(y))]), unpacked(y), p)[0, 0]
+            assert may or not link
+            links, out = links + link, out + (not may)
+    assert links > 5 and out > 20
+
+
+def test_plausible_pairs_of_blocks(spark):
+    """Buckets of many blocks give the pairs of a plain loop; runs of rows may span batches."""
+    rng = random.Random(21)
+    p, sets, rows = minhash.MinHash(block=4), {}, []
+    for k in range(90):
+        like = sets[rng.choice(list(sets))] if sets and rng.random() < 0.7 else rng.sample(range(10**6), rng.randint(5, 40))
+        sets[k] = np.unique(np.array([v if rng.random() < 0.93 else rng.randrange(10**6) for v in like], np.uint64))
+    sets = {k: np.unique(minhash.mix64(v)) for k, v in sets.items()}
+    for key in range(3):
+        for k in sets:
+            if rng.random() < 0.6:
+                rows.append((key, k, len(sets[k]), 0, None, k // 2, 1, minhash.bitmap(sets[k]).tolist()))
+    kind = "key long, rep long, n long, hub long, sim double, part long, sets long, bits array<long>"
+    got = [(r.a, r.b) for r in minhash.plausible_pairs(frame(spark, rows, kind).repartition(1), p).collect()]
+    together = {(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and a[5] != b[5] and 0 not in (a[1], b[1])}
+    linked = {(a, b) for a, b in together if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(got) == len(set(got)) and linked <= set(got) <= together and len(linked) > 20
 
 
 def removed_by_brute_force(rows):
