@@ -18,24 +18,31 @@ MASK64 = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set.
+    Where the setting is absent and the master is local (tests on one machine) a temporary folder is
+    set; on a cluster its absence is an error, as a folder of one machine would lose data.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir()
     if named is None:
         conf = sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="sparkloom-"))
         named = sc.getCheckpointDir()
     return named
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` frees them early."""
+    """Tables written to the shared folder to cut lineage; ``drop`` frees them early, the end of the session frees the rest."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.made: dict[int, str] = {}
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def table(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
         """``df``, written and read again; by at most so many tasks in the last stage if ``tasks`` is given."""

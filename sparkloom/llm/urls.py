@@ -19,6 +19,11 @@ from sparkloom.llm.common import fold
 #: Hosts whose urls are listed: fixed values, each under three endings.
 LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 LISTED_ENDINGS = ["example.com", "example.net", "example.org"]
+#: Hosts of which single urls are listed: fixed values. Url k of ``LISTED_URLS`` has the number k * 7 modulo ``LISTED_NUMBERS``, so some repeat.
+LISTED_HOSTS = ["blog.tionsh.example.com", "tionble.example.org", "tiontion.example.net", "www.ththon.example.org:8080", "ththan.example.com"]
+LISTED_FOLDERS = ["de", "en", "es", "fr"]
+LISTED_TAILS = ["", "/", ".html", "?utm_source=feed", "?page=2&ref=x"]
+LISTED_URLS, LISTED_NUMBERS = 8000, 6000
 
 #: (verdict, host, path): the host and its subdomains, paths that start with the path; the longest rule wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -59,20 +64,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def canonical(host: Column, path: Column) -> tuple[Column, Column]:
-    """Host without port and outer dots, path with single slashes that begins with one."""
-    host = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^\.+|\.+$", "")
+    """Host without user, port and outer dots; path decoded, that begins with a slash, without double slashes and dot segments."""
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"^\.+|\.+$", "")
+    path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     path = F.regexp_replace(F.concat(F.lit("/"), path), r"/+", "/")
-    return host, path
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    flat = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), up)
+    return host, F.when(F.regexp_like(path, F.lit(r"/\.\.?(/|$)")), F.concat(F.lit("/"), F.array_join(flat, "/"))).otherwise(path)
 
 
 def keys_of(host: Column, path: Column, query: Column) -> Column:
-    """Keys to look up: the whole host with and without its port and its suffixes of 2 labels or more, each with the
+    """Keys to look up: the host and its suffixes, with and without the port (80 and 443 are none), each with the
     path and query string, the whole path and each of its folders."""
-    port = F.regexp_extract(host, r":[0-9]+$", 0)
+    port = F.regexp_replace(F.regexp_extract(host, r":[0-9]+$", 0), r"^:(80|443)$", "")
     host, path = canonical(host, path)
     parts, folders = F.split(host, r"\."), F.split(path, "/")
-    suffixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))).otherwise(F.array(host))
-    hosts = F.array_distinct(F.concat(F.array(F.concat(host, port), host), suffixes))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    hosts = F.array_distinct(F.concat(suffixes, F.transform(suffixes, lambda h: F.concat(h, port))))
     paths = F.transform(F.sequence(F.lit(1), F.size(folders) - 1), lambda n: F.concat(F.array_join(F.slice(folders, F.lit(1), n), "/"), F.lit("/")))
     paths = F.array_distinct(F.concat(F.array(F.concat(path, query), path), paths))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
@@ -118,18 +126,27 @@ def url_verdicts(pages: DataFrame, listing: DataFrame, rules=RULES, p: Bloom = B
     """page_id, host, path, rule, verdict for every row.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule
-    and is allowed. Repeated rows and null ids are judged like any others.
+    and is allowed. Repeated rows and null ids are judged like any others; an
+    empty table gives no rows, an empty listing lists nothing.
     """
     pages = fold(pages, "page_id", "url")
     hit = listed_urls(pages, listing, p).withColumn("listed", F.lit(True))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = pages.join(hit, "url", "left").select("page_id", host.alias("host"), path.alias("path"), "listed")
+    rows = pages.where("url is not null").join(hit, "url", "left")
+    rows = rows.unionByName(pages.where("url is null").withColumn("listed", F.lit(None).cast("boolean")))  # not through the join, as one key
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), "listed")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def default_listing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"{n}.{e}/",) for n in LISTED_NAMES for e in LISTED_ENDINGS], "key string")
+    """Whole hosts, and some thousand urls made by a rule, with repeats."""
+    hosts = spark.createDataFrame([(f"{n}.{e}/",) for n in LISTED_NAMES for e in LISTED_ENDINGS], "key string")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    k = F.col("id")
+    number = (k * 7 % LISTED_NUMBERS).cast("string")
+    key = F.concat(pick(LISTED_HOSTS, k), F.lit("/"), pick(LISTED_FOLDERS, F.floor(k / 5)), F.lit("/"), number, pick(LISTED_TAILS, F.floor(k / 20)))
+    return hosts.union(spark.range(LISTED_URLS).select(key))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,18 +155,41 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{i}}}'" for i, (_, h, p) in sorted(enumerate(RULES), key=lambda r: -len(r[1][1] + r[1][2])))
 
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+#: The tables hold no dot segments, which the SQL leaves as they are.
 OP2_SQL = f"""
-WITH parts AS (
-  SELECT page_id,
+WITH listing AS (
+  SELECT n || '.' || e || '/' AS key FROM unnest({_LIST(LISTED_NAMES)}) AS names(n), unnest({_LIST(LISTED_ENDINGS)}) AS endings(e)
+  UNION
+  SELECT {_LIST(LISTED_HOSTS)}[k % {len(LISTED_HOSTS)} + 1] || '/' || {_LIST(LISTED_FOLDERS)}[k // 5 % {len(LISTED_FOLDERS)} + 1] || '/'
+         || (k * 7 % {LISTED_NUMBERS}) || {_LIST(LISTED_TAILS)}[k // 20 % {len(LISTED_TAILS)} + 1]
+  FROM range({LISTED_URLS}) AS numbers(k)
+), parts AS (
+  SELECT page_id, url,
          translate(coalesce(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
-         coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+         coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract(url, '^[\\s\\S]*?://[^?#]*(\\?[^#]*)', 1), '') AS query
   FROM pages
+), plain AS (
+  SELECT DISTINCT url, query, regexp_replace(regexp_extract(host, ':[0-9]+$', 0), '^:(80|443)$', '') AS port,
+         regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '^[.]+|[.]+$', '', 'g') AS host,
+         regexp_replace('/' || url_decode(replace(path, '+', '%2B')), '/+', '/', 'g') AS path
+  FROM parts WHERE host <> ''
+), split AS (
+  SELECT url, host, port, path, query, string_split(host, '.') AS labels, string_split(path, '/') AS folders FROM plain
+), keys AS (
+  SELECT url, unnest(list_transform(range(2 * len(labels)), lambda n: array_to_string(labels[n // 2 + 1:], '.') || CASE WHEN n % 2 = 1 THEN port ELSE '' END)) AS host,
+         list_transform(range(1, len(folders)), lambda n: array_to_string(folders[:n], '/') || '/') || [path, path || query] AS paths
+  FROM split
+), listed AS (
+  SELECT DISTINCT url FROM (SELECT url, host || unnest(paths) AS key FROM keys) SEMI JOIN listing USING (key)
 ), ruled AS (
   SELECT page_id, host, path,
          CASE {_FITS.format(*(h + p for _, h, p in RULES))} END AS rule,
          CASE {_FITS.format(*(v for v, _, _ in RULES))} END AS verdict,
-         regexp_matches(host, '(^|[.])({"|".join(LISTED_NAMES)})[.]({"|".join(e.replace(".", "[.]") for e in LISTED_ENDINGS)})[.]*(:[0-9]*)?$') AS listed
-  FROM parts
+         listed.url IS NOT NULL AS listed
+  FROM parts LEFT JOIN listed USING (url)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
 """

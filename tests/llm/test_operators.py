@@ -509,3 +509,48 @@ def test_main_text_edges(spark):
     assert mainhtml.main_text(f"<body><article><p>{text}</p></article></body>") == text.strip()
     many = "<p>one two</p>" * 20_000
     assert mainhtml.main_text(f"<body><nav>menu</nav>{many}</body>") == " ".join(["one two"] * 20_000)
+
+
+def test_urls_are_canonical(spark):
+    listing = frame(spark, [("x.org/a/d/",), ("y.org:8080/p",), ("z.org/cAt",), ("com/",), ("a.b.c.d.e.f.com/",), ("w.org/1/2/3/4/5/6/",)], "key string")
+    listed = ["http://u:p@X.org:80/a/./b/../d/e?q", "http://m.y.org:8080/p", "https://z.org:443/c%41t", "http://any.com", "http://w.a.b.c.d.e.f.com", "http://w.org/1/2/3/4/5/6/7", "http://x.org/../a//d/"]
+    free = ["http://x.org/a/b/d/", "http://y.org/p", "http://z.org/c%zzt", "http://com.org/", "http://w.org/1/2/3/4/5/", "nothing"]
+    got = urls.listed_urls(frame(spark, [(u,) for u in listed + free], "url string"), listing)
+    assert sorted(r.url for r in got.collect()) == sorted(listed)
+
+
+def test_urls_of_empty_tables(spark):
+    kind = "page_id long, url string"
+    assert urls.url_verdicts(frame(spark, [], kind), urls.default_listing(spark)).collect() == []
+    rows = [(1, "http://spam-farm.example.org/"), (2, None), (2, None), (None, None)]
+    got = urls.url_verdicts(frame(spark, rows, kind), frame(spark, [], "key string")).collect()
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in got) == [(0, "", "allow"), (1, "spam-farm.example.org", "allow"), (2, "", "allow"), (2, "", "allow")]
+
+
+def test_single_urls_of_the_listing(spark):
+    rows = [(1, "http://tionble.example.org/es/7952?utm_source=feed"), (2, "http://www.tionble.example.org/es/7952?utm_source=feed"), (3, "http://tionble.example.org/es/7952")]
+    k = next(k for k in range(urls.LISTED_URLS) if (k % 5, k // 5 % 4, k // 20 % 5) == (1, 0, 3))
+    listed = f"{urls.LISTED_HOSTS[1]}/de/{k * 7 % urls.LISTED_NUMBERS}?utm_source=feed"
+    rows += [(4, f"https://{listed}#top"), (5, f"https://m.{listed}"), (6, f"https://{listed}x")]
+    got = {r.page_id: r.verdict for r in urls.url_verdicts(frame(spark, rows, "page_id long, url string"), urls.default_listing(spark)).collect()}
+    keys = {r.key for r in urls.default_listing(spark).collect()}
+    assert listed in keys and len(keys) > 6000 and (got[4], got[5], got[6]) == ("block", "block", "allow")
+
+
+def test_shared_folder(spark, monkeypatch):
+    from sparkloom.llm import common
+
+    class Context:
+        master = "spark://far:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
