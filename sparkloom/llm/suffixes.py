@@ -133,16 +133,18 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def equal_strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray, one: np.ndarray, two: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """Whether the strings ``one`` and ``two`` (numbers of start and stop) are the same bytes."""
-    same = stop[one] - start[one] == stop[two] - start[two]
+    """Whether the strings ``one`` and ``two`` (numbers of start and stop) are the same bytes. Contexts have few lengths, so those of a length go together."""
+    size = stop - start
+    same = size[one] == size[two]
     todo = np.flatnonzero(same & (one != two))
-    step = max(1, most // int((stop[one[todo]] - start[one[todo]]).max())) if len(todo) else 1
-    for at in range(0, len(todo), step):
-        part = todo[at : at + step]
-        a, b = one[part], two[part]
-        size = stop[a] - start[a]
-        equal = data[ranges(start[a], stop[a])] == data[ranges(start[b], stop[b])]
-        same[part] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    todo = todo[np.argsort(size[one[todo]], kind="stable")]
+    length = size[one[todo]]
+    for lot in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(length)) + 1) if len(todo) else ():
+        rows = np.lib.stride_tricks.sliding_window_view(data, int(length[lot[0]]))
+        step = max(1, most // int(length[lot[0]]))
+        for at in range(0, len(lot), step):
+            part = todo[lot[at : at + step]]
+            same[part] = (rows[start[one[part]]] == rows[start[two[part]]]).all(axis=1)
     return same
 
 
