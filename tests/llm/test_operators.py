@@ -554,3 +554,46 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session())
+
+
+def plain_score(text, net):
+    """A text's score by plain loops over windows, directions and words."""
+    p, w = net.p, {k: v.astype(np.float64) for k, v in net.w.items()}
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    starts, ends, hashes = toxicity.words_of(data)
+    inputs = []
+    for a, z, h in zip(starts, ends, hashes, strict=True):
+        word = b"<" + bytes(c + 32 if 65 <= c <= 90 else c for c in data[a:z].tobytes()) + b">"
+        rows = [int(toxicity.mix64(np.array([int.from_bytes(word[k : k + n], "little") * (2 * n - 1) % 2**64], np.uint64))[0]) % (1 << p.log_grams) for n in p.grams for k in range(len(word) - n + 1)]
+        gram = sum((w["gram"][r] for r in rows), np.zeros(p.char_size)) / np.sqrt(max(1, len(rows)))
+        inputs.append(np.concatenate((w["word"][int(h) % (1 << p.log_words)], gram)))
+    n, best = len(inputs), None
+    for start in sorted({min(k, max(0, n - p.window)) for k in range(0, max(1, n - p.window + p.step), p.step)}) if n else ():
+        part, states = inputs[start : start + p.window], []
+        for side in (0, 1):
+            state, seen = np.zeros(p.hidden), []
+            for x in part if side == 0 else part[::-1]:
+                g, rec = x @ w["x"][side] + w["bias"][side], state @ w["u"][side]
+                z, r = (1 / (1 + np.exp(-(g + rec)[k * p.hidden : (k + 1) * p.hidden])) for k in (0, 1))
+                new = np.tanh(g[2 * p.hidden :] + r * rec[2 * p.hidden :])
+                state = z * state + (1 - z) * new
+                seen.append(state)
+            states.append(seen if side == 0 else seen[::-1])
+        states = np.concatenate([np.array(s) for s in states], axis=1)
+        e = np.exp(np.tanh(states @ w["att"]) @ w["att_v"])
+        logit = (e / e.sum()) @ states @ w["out"] + w["out_b"][0]
+        best = logit if best is None else max(best, logit)
+    return 0.0 if best is None else 1 / (1 + np.exp(-best))
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    rng = random.Random(40)
+    net = toxicity.Net(toxicity.Toxicity(log_words=6, log_grams=7))
+    prose = lambda k: " ".join("".join(rng.choices(WORDS, k=rng.randint(1, 4))) for _ in range(k))
+    rows = [prose(k) for k in (1, 2, 30, 63, 64, 65, 120, 121, 300)] + ["", None, " \n", "Ab é 日本", "x"]
+    got = toxicity.text_scores(pa.array(rows), net)
+    assert np.allclose(got, [plain_score(t, net) for t in rows], atol=1e-4)
+    docs = frame(spark, [(3, rows[5]), (3, rows[5]), (None, rows[2])]).withColumn("key", F.lit("clash")).withColumn("score", F.lit(9))
+    again = sorted((r.score for r in toxicity.score(docs, net).collect()))
+    assert np.allclose(again, sorted([got[5], got[5], got[2]]), atol=1e-6)
+    assert toxicity.score(frame(spark, []), net).collect() == []
