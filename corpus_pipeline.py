@@ -64,7 +64,7 @@ STAGES = [
     ("pieces", to_pieces),
 ]
 
-#: A recurrent network, permutations and sampled pieces have no SQL; the tests compare the stages with brute force.
+#: A recurrent network, permutations and sampled pieces have no SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
