@@ -319,8 +319,8 @@ def hash_functions(spark, d):
 
 @query("SELECT event_id, value - CAST((SELECT avg(b.value) FROM events b WHERE b.event_type = a.event_type) AS DOUBLE) > 0 AS above FROM events a")
 def correlated_subquery(spark, d):
-    table(spark, d, "events").createOrReplaceTempView("_sparkloom_events")
-    return spark.sql("SELECT event_id, value - (SELECT avg(b.value) FROM _sparkloom_events b WHERE b.event_type = a.event_type) > 0 AS above FROM _sparkloom_events a")
+    e = table(spark, d, "events")
+    return spark.sql("SELECT event_id, value - (SELECT avg(b.value) FROM {e} b WHERE b.event_type = a.event_type) > 0 AS above FROM {e} a", e=e)
 
 
 @query("WITH p AS (SELECT user_id, min(epoch(ts)) AS a, max(epoch(ts)) AS b FROM events GROUP BY 1), t AS (SELECT user_id, a + (b - a) * k / 4 AS x FROM p CROSS JOIN (VALUES (1), (2), (3)) v(k)) SELECT t.user_id, count(*) AS n, true AS inside FROM t JOIN p USING (user_id) GROUP BY ALL")
@@ -331,3 +331,39 @@ def interpolated_values(spark, d):
     asked = ends.select("user_id", F.explode(F.array(*[F.col("a") + (F.col("b") - F.col("a")) * k / 4 for k in (1, 2, 3)])).alias("x"))
     got = interpolate(e, asked, ["user_id"], "x", "value", log=False).join(ends, "user_id")
     return got.groupBy("user_id").agg(F.count("value").alias("n"), F.bool_and(F.col("value").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)).alias("inside"))
+
+
+_MOMENTS = "avg(l_quantity) AS m1, avg(l_quantity ** 2) AS m2, avg(l_quantity ** 3) AS m3, avg(l_quantity ** 4) AS m4"
+
+
+@query(
+    f"""WITH m AS (SELECT l_returnflag, {_MOMENTS}, var_pop(l_quantity) AS v, var_samp(l_quantity) AS vs, covar_pop(l_quantity, l_discount) AS c FROM lineitem GROUP BY ALL)
+    SELECT l_returnflag, round(v, 6) AS var_pop, round(vs, 6) AS var_samp, round(c, 6) AS covar,
+    round((m3 - 3 * m1 * m2 + 2 * m1 ** 3) / v ** 1.5, 6) AS skew, round((m4 - 4 * m1 * m3 + 6 * m1 ** 2 * m2 - 3 * m1 ** 4) / v ** 2 - 3, 6) AS kurt FROM m"""
+)
+def aggregate_moments(spark, d):
+    q = F.col("l_quantity")
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.round(F.var_pop(q), 6).alias("var_pop"),
+        F.round(F.var_samp(q), 6).alias("var_samp"),
+        F.round(F.covar_pop(q, "l_discount"), 6).alias("covar"),
+        F.round(F.skewness(q), 6).alias("skew"),
+        F.round(F.kurtosis(q), 6).alias("kurt"),
+    )
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+def aggregate_approximate_top(spark, d):
+    """A sketch of the most frequent values, exact while it has room for all of them."""
+    top = table(spark, d, "events").agg(F.expr("approx_top_k(event_type, 100, 1000)").alias("top"))
+    return top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("event_type"), F.col("x.count").alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def set_intersect_all(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def set_except_all(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(table(spark, d, "supplier").select("s_nationkey"))

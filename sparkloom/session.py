@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,5 +27,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return b.config(map=settings | {k.replace("_", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """Folder that all executors share, as ``spark.checkpoint.dir`` names it; on a local master a temporary one if it is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
+    return sc.getCheckpointDir()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -89,7 +89,8 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     body = F.regexp_extract("value", r"(?s)## Latest results.*?```(?:python|json)?\s*(\{.*?\})\s*```", 1)
     tasks = F.from_json(F.get_json_object(body, "$.all"), T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
-    rows = text.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("model"), F.explode(tasks).alias("task", "metrics"))
+    folder = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B")))  # the path comes encoded
+    rows = text.select(folder.alias("model"), F.explode(tasks).alias("task", "metrics"))
     return rows.select("model", "task", F.explode("metrics").alias("metric", "text")).select("model", "task", "metric", F.expr("try_cast(text AS double)").alias("value"))
 
 

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import shared_root
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -28,13 +30,8 @@ def query(sql: str | None):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for sinks and offsets: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkloom-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """A new folder for sinks and offsets."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -118,3 +115,22 @@ def stream_static_join(spark, d):
     places = spark.read.parquet(f"{d}/nation.parquet").join(spark.read.parquet(f"{d}/region.parquet"), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", "r_name")
     e = read_events(spark, d).where("event_type = 'purchase'")
     return drain(e.join(F.broadcast(places), F.expr("user_id % 25 = n_nationkey")).select("event_id", "r_name"), "append")
+
+
+_BUCKET = "CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600"
+_MIDDLE = f"(SELECT CAST(floor((min(epoch(ts)) + max(epoch(ts))) / 2 / 21600) AS BIGINT) * 21600 FROM events)"
+
+
+@query(f"SELECT * FROM (SELECT {_BUCKET} AS start, event_type, count(*) AS n FROM events WHERE epoch(ts) >= {_MIDDLE} GROUP BY ALL) WHERE start + 21600 <= (SELECT max(epoch(ts)) - 600 FROM events)")
+def stream_late_rows(spark, d):
+    """Four micro-batches: the later half of the time in two, then two of rows that come too late and are dropped."""
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = (F.unix_seconds(f("ts")) for f in (F.min, F.max))
+    middle = rows.agg((F.floor((low + high) / 2 / 21600) * 21600).alias("m")).first().m
+    folder = shared_folder(spark)
+    late = F.unix_seconds("ts") < middle
+    for k, part in enumerate([~late & (F.col("event_id") % 2 == 0), ~late & (F.col("event_id") % 2 == 1), late & (F.col("event_id") % 2 == 0), late & (F.col("event_id") % 2 == 1)]):
+        rows.where(part).withColumn("batch", F.lit(k)).coalesce(1).write.mode("append").parquet(folder)  # one file each, in this order
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    w = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return drain(w.select(F.unix_seconds("w.start").alias("start"), "event_type", "n"), "append")

@@ -71,6 +71,11 @@ def test_sinks(spark, tmp_path):
     out = str(tmp_path / "out")
     with pytest.raises(ValueError, match="other than the source"):
         writers.write_table(df, out, source=out + "/")
+    (tmp_path / "link").symlink_to(tmp_path)
+    for same in (f"{tmp_path}/x/../out", f"file:{out}", f"file://{out}/", f"{tmp_path}/link/out"):
+        with pytest.raises(ValueError, match="other than the source"):
+            writers.write_table(df, out, source=same)
+    assert writers.resolved("s3://b/a/../c/") == writers.resolved("s3://b//c") != writers.resolved("s3://d/c")
     writers.write_table(df, out, partition_by=["k"])
     assert spark.read.parquet(out).count() == 4
     writers.write_table(df, out + "j", "json")
