@@ -117,7 +117,7 @@ def possible(keys: DataFrame, listing: DataFrame, p: Bloom) -> DataFrame:
 def listed_urls(urls: DataFrame, listing: DataFrame, p: Bloom = Bloom()) -> DataFrame:
     """Distinct url of ``urls`` with a key in ``listing`` (key: canonical host and path, with the query string or port if only that url is listed)."""
     listing = listing.where("key is not null").select("key").distinct()
-    keys = urls.where("url is not null").select("url").distinct()
+    keys = urls.where("url is not null").select("url")  # tested where they are read: only possible hits are shuffled
     keys = keys.select("url", F.explode(F.array_distinct(keys_of(host_of(F.col("url")), path_of(F.col("url")), query_of(F.col("url"))))).alias("key"))
     return possible(keys, listing, p).join(listing, "key").select("url").distinct()
 
