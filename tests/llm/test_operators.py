@@ -597,3 +597,53 @@ def test_toxicity_scores_by_plain_loops(spark):
     again = sorted((r.score for r in toxicity.score(docs, net).collect()))
     assert np.allclose(again, sorted([got[5], got[5], got[2]]), atol=1e-6)
     assert toxicity.score(frame(spark, []), net).collect() == []
+
+
+def test_pivots_of_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (5, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (8, [0.0, 1.0], 0), (9, [0.0, 1.0], None), (None, [0.0, 1.0], 0)]
+    got = pivots.near_vectors(frame(spark, rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [
+        (0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (5, 1, 1, False), (7, 2, 1, False), (8, 2, 1, False), (9, 0, 9, True),
+    ]
+
+
+def test_pivots_find_planted_links(spark):
+    """The shipped setting at the size of the driver's vectors, with links just above the least cosine and one large cluster."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for k in range(600):
+        base = rng.standard_normal(64)
+        base /= np.linalg.norm(base)
+        for _ in range(300 if k == 0 else 3):
+            noise = rng.standard_normal(64)
+            noise -= (noise @ base) * base
+            cosine = np.sqrt(rng.uniform(0.93, 0.97))  # of a member with its centre; of two members about its square
+            v = cosine * base + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise)
+            rows.append((len(rows), (v * rng.uniform(0.1, 9)).astype(np.float32).tolist(), k % 4))
+    unit = pivots.units(np.array([r[1] for r in rows], np.float32))
+    label = np.array([r[2] for r in rows])
+    want = ((unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(frame(spark, rows, "vec_id long, embedding array<float>, label int"), pivots.Pivots(block=64)).collect()}
+    found = np.array([got[k] for k in range(len(rows))])
+    assert (found <= want).all() and want.sum() > 4000 and found.sum() >= 0.9 * want.sum()
+
+
+def test_empty_tables_long_texts_and_clashing_columns(spark):
+    vocabulary = pieces.load_pieces()
+    long = "ab, " * 60_000
+    rows = [(1, long), (1, long), (2, None), (None, "ab, c")]
+    docs = frame(spark, rows).withColumn("pieces", F.lit(1)).withColumn("n_tokens", F.lit(2)).withColumn("edits", F.lit("x")).withColumn("key", F.lit(3)).withColumn("bucket", F.lit("b"))
+    got = tokencount.token_counts(docs, ["a", ",", "ab"], ["b"]).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_tokens, r.n_unknown) for r in got) == [(0, 3, 3, 1), (1, 120_000, 120_000, 0), (1, 120_000, 120_000, 0), (2, 0, 0, 0)]
+    once = sampling.segment(docs, vocabulary).collect()
+    assert len(once) == 4 and all(r.lossless for r in once) and len({tuple(r.pieces) for r in once if r.doc_id == 1}) == 1
+    items = frame(spark, [(7, "ab, ab, ab, c")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 7, 1)}
+    cut = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.repeated_bytes(docs.union(frame(spark, [(9, "ab, " * 50)]).selectExpr("*", "1", "2", "'x'", "3", "'b'"))).collect()}
+    assert cut == {(1, 240_000, 0), (2, 0, 0), (None, 5, 0), (9, 200, 200)}
+    near = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert near == {(1, 1), (2, 2), (None, None)}
+    chats = frame(spark, [(1, 0, "assistant", long), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("mask", F.lit(2))
+    assert {(r.conv_id, r.loss_chars) for r in chat.chat_digests(chat.format_chats(chats)).collect()} == {(1, 240_000), (None, 0)}
+    empty = frame(spark, [])
+    assert tokencount.token_counts(empty, ["a"], ["b"]).collect() == sampling.segment(empty, vocabulary).collect() == decontaminate.contaminated(empty, items).collect() == []
