@@ -265,7 +265,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) ->
     limit is rounded down, so an item of few characters may have no edits and is
     found wherever its characters stand. Null and empty texts and
     items match nothing, items with equal texts all match, repeated documents
-    give one row an id, and a null doc_id is returned as such.
+    give one row an id, and a null doc_id is returned as such. Empty tables on either
+    side give no rows.
     """
     found = leaks(fold(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("key"), "text"), benchmark, p)
     return found.groupBy(F.col("key").alias("doc_id"), "item_id").agg(F.min("edits").alias("edits"))

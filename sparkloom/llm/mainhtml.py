@@ -326,7 +326,7 @@ def main_text(page: str | None, names: bool = True) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row. A null or empty page, or one without content, gives an empty text; repeated rows and null ids stay."""
+    """page_id, url, text, n_chars for every row. A null or empty page, or one without content, gives an empty text; repeated rows and null ids stay. An empty table gives no rows."""
 
     @lean
     def run(batches):

@@ -223,7 +223,7 @@ def segment(docs: DataFrame, pieces: Pieces, p: Sampling = Sampling(), block: in
     """doc_id, pieces, n_pieces, lossless for each row: sampled ids and whether they decode to the very text.
 
     Null texts count as empty and give one piece, the space put before a text; a
-    null doc_id counts as key 0. Repeated rows get the same pieces. Texts are
+    null doc_id counts as key 0. Repeated rows get the same pieces. An empty table gives no rows. Texts are
     taken whole, in blocks of about ``block`` bytes (a longer text is a block of its own).
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, p))  # as large as the vocabulary file

@@ -98,7 +98,7 @@ _counts: dict = {}
 def token_counts(docs: DataFrame, first, rest) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown for every row; an unknown word is one token.
 
-    Null and empty texts count 0; repeated rows and null ids are counted like any others.
+    Null and empty texts count 0; repeated rows and null ids are counted like any others. An empty table gives no rows.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast((first, rest))  # as large as the vocabulary file
     name = uuid.uuid4().hex

@@ -297,7 +297,7 @@ def scores(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. Null and empty texts score 0; a null doc_id isn't held out."""
+    """doc_id, held_out, score, predicted for every row. Null and empty texts score 0; a null doc_id isn't held out; repeated rows score alike."""
     out = scores(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), net).withColumnRenamed("key", "doc_id")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= net.p.threshold).cast("int").alias("predicted"))
 
