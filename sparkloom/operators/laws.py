@@ -38,7 +38,7 @@ def fit_law(points: DataFrame, exponents_n: list[float], exponents_d: list[float
         points = points.where("provenance <> 'formula'")
     points = points.where("N_params_B > 0 and D_tokens_B > 0 and val_loss is not null")
     cells = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a in exponents_n for b in exponents_d])
-    rows = points.select(*by, F.explode(cells).alias("g"), "N_params_B", "D_tokens_B", F.col("val_loss").alias("y")).select(*by, "g.alpha", "g.beta", F.pow("N_params_B", -F.col("g.alpha")).alias("u"), F.pow("D_tokens_B", -F.col("g.beta")).alias("v"), "y")
+    rows = points.select(*by, F.explode(cells).alias("_cell"), "N_params_B", "D_tokens_B", F.col("val_loss").alias("y")).select(*by, "_cell.alpha", "_cell.beta", F.pow("N_params_B", -F.col("_cell.alpha")).alias("u"), F.pow("D_tokens_B", -F.col("_cell.beta")).alias("v"), "y")
     s = rows.groupBy(*by, "alpha", "beta").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in dict(u="u", v="v", y="y", uu="u*u", uv="u*v", vv="v*v", uy="u*y", vy="v*y", yy="y*y").items()])
     c = {k: F.col(f"s_{k}") for k in ("n", "u", "v", "y", "uu", "uv", "vv", "uy", "vy", "yy")}
     s = s.select(*by, "alpha", "beta", *[F.col(k).alias(f"s_{k}") for k in c])
@@ -54,6 +54,21 @@ def fit_law(points: DataFrame, exponents_n: list[float], exponents_d: list[float
     return out.select(*by, "f.*")
 
 
+def predict(points: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
+    """``points`` with the loss (``predicted``) that their group's law, a row of ``fit_law``, gives; groups without a law go."""
+    law = fits.select(*by, F.struct("E", "A", "B", "alpha", "beta").alias("_law"))
+    both = points.join(law, by) if by else points.crossJoin(law)  # without groups the law is one row
+    value = F.col("_law.E") + F.col("_law.A") * F.pow("N_params_B", -F.col("_law.alpha")) + F.col("_law.B") * F.pow("D_tokens_B", -F.col("_law.beta"))
+    return both.withColumn("predicted", value).drop("_law")
+
+
+def held_out_error(points: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
+    """Root mean square error and number of points by group, of points that the fits haven't seen."""
+    known = points.where("N_params_B > 0 and D_tokens_B > 0 and val_loss is not null")
+    rows = predict(known, fits, by).withColumn("_square", F.pow(F.col("val_loss") - F.col("predicted"), F.lit(2.0)))
+    return rows.groupBy(*by).agg(F.sqrt(F.avg("_square")).alias("held_out_rmse"), F.count("*").alias("n"))
+
+
 def best_within_budget(grid: DataFrame, budgets: DataFrame, law: dict = PUBLISHED) -> DataFrame:
     """For each budget (flops) the grid point with 6 N D within it and the least projected loss."""
     cost = grid.withColumn("cost", 6e18 * F.col("N_params_B") * F.col("D_tokens_B")).withColumn("loss", project(F.col("N_params_B"), F.col("D_tokens_B"), law))

@@ -155,8 +155,11 @@ def interpolate(points: DataFrame, targets: DataFrame, by: list[str], x: str, y:
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, keep: list[str]) -> DataFrame:
-    """Left rows with the last right ``value`` at or before them within ``by``; one shuffle, no join."""
+    """Left rows with the last right ``value`` at or before them within ``by``; one shuffle, no join.
+
+    Of right rows at one time the greatest value counts, and a null value counts only where it stands alone there.
+    """
     one = left.select(*by, at, *keep, F.lit(None).alias("_v"), F.lit(1).alias("_left"))
     two = right.select(*by, at, *[F.lit(None).alias(k) for k in keep], F.struct(value).alias("_v"), F.lit(0).alias("_left"))
-    w = Window.partitionBy(*by).orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(at, "_left", "_v").rowsBetween(Window.unboundedPreceding, 0)
     return two.unionByName(one).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1").select(*by, at, *keep, F.col(f"_v.{value}").alias(value))

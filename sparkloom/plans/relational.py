@@ -112,10 +112,21 @@ def join_sort_merge(spark, d):
 
 
 def range_join(points: DataFrame, at: str, ranges: DataFrame, start: str, stop: str, width: float) -> DataFrame:
-    """Points with the half-open ranges that hold them: ranges are dealt to bins of ``width``, then joined by bin."""
-    r = ranges.where(F.col(start) < F.col(stop)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
-    p = points.withColumn("_bin", F.floor(F.col(at) / width))
-    return p.join(r, "_bin").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("_bin")
+    """Points with the half-open ranges that hold them, joined by bins.
+
+    Bins are ``width`` wide, twice that, and so on; a range goes to the at most two bins of the first size that is not
+    narrower than itself, so a long range is no more rows than a short one. A point goes to one bin of each size that
+    some range has, a list of some 2,000 sizes at most, as lengths are doubles. Null or empty ranges and null points
+    meet nothing.
+    """
+    length = F.col(stop).cast("double") - F.col(start).cast("double")
+    size = F.ceil(F.greatest(F.least(F.log2(length / width), F.lit(1100.0)), F.lit(0.0))).cast("int")  # 1100: a bin without end
+    bin_of = lambda x: F.floor(F.col(x) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_size"))))
+    r = ranges.where(F.col(start) < F.col(stop)).withColumn("_size", size)
+    sizes = r.select("_size").distinct()
+    r = r.withColumn("_bin", F.explode(F.sequence(bin_of(start), bin_of(stop))))
+    p = points.where(F.col(at).isNotNull()).join(F.broadcast(sizes)).withColumn("_bin", bin_of(at))
+    return p.join(r, ["_size", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("_size", "_bin")
 
 
 BANDS = [(1, 0.0, 50000.0), (2, 40000.0, 200000.0), (3, 200000.0, 350000.0), (4, 300000.0, 900000.0)]
@@ -333,6 +344,23 @@ def interpolated_values(spark, d):
     return got.groupBy("user_id").agg(F.count("value").alias("n"), F.bool_and(F.col("value").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)).alias("inside"))
 
 
+@query("""
+WITH k AS (SELECT user_id, epoch(ts) AS x, avg(value) AS y FROM events GROUP BY ALL),
+e AS (SELECT user_id, min(x) AS a, max(x) AS b FROM k GROUP BY ALL),
+t AS (SELECT user_id, a + (b - a) * part / 4 AS x FROM e CROSS JOIN (VALUES (1), (2), (3)) v(part)),
+lo AS (SELECT t.user_id, t.x, k.x AS x0, k.y AS y0 FROM t ASOF JOIN k ON t.user_id = k.user_id AND t.x >= k.x),
+hi AS (SELECT lo.*, k.x AS x1, k.y AS y1 FROM lo ASOF JOIN k ON lo.user_id = k.user_id AND lo.x <= k.x)
+SELECT user_id, round(avg(CASE WHEN x0 = x1 THEN y0 ELSE y0 + (x - x0) / (x1 - x0) * (y1 - y0) END), 4) AS mean FROM hi GROUP BY ALL
+""")
+def interpolated_means(spark, d):
+    """The mean of three values of each user between known points."""
+    e = table(spark, d, "events").select("user_id", (micros() / 1e6).alias("x"), "value")
+    ends = e.groupBy("user_id").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    asked = ends.select("user_id", F.explode(F.array(*[F.col("a") + (F.col("b") - F.col("a")) * k / 4 for k in (1, 2, 3)])).alias("x"))
+    got = interpolate(e, asked, ["user_id"], "x", "value", log=False)
+    return got.groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("mean"))
+
+
 _MOMENTS = "avg(l_quantity) AS m1, avg(l_quantity ** 2) AS m2, avg(l_quantity ** 3) AS m3, avg(l_quantity ** 4) AS m4"
 
 

@@ -62,6 +62,38 @@ def test_interpolation_and_as_of(spark):
     assert {r.id: r.v for r in study.as_of(left, right, ["g"], "t", "v", ["id"]).collect()} == {1: "x", 2: None}
 
 
+def test_as_of_takes_the_greatest_of_one_time(spark):
+    left = spark.createDataFrame([("a", 5, 1)], "g string, t int, id int")
+    right = spark.createDataFrame([("a", 4, "x"), ("a", 4, "z"), ("a", 4, None), ("a", 4, "y")], "g string, t int, v string")
+    assert study.as_of(left, right, ["g"], "t", "v", ["id"]).first().v == "z"
+
+
+def test_range_join_of_short_long_and_endless_ranges(spark):
+    from sparkloom.plans.relational import range_join
+
+    rng, inf = random.Random(2), float("inf")
+    spots = [rng.uniform(-1e4, 1e4) for _ in range(200)] + [0.0, 5.0, 1e15, -1e15, inf, None]
+    ranges = [(k, a, a + 10 ** rng.uniform(-3, 6)) for k, a in enumerate(rng.uniform(-1e4, 1e4) for _ in range(60))]
+    ranges += [(100, -inf, inf), (101, 0.0, inf), (102, -1e300, 5.0), (103, 5.0, 5.0), (104, 7.0, 1.0), (105, None, 1.0), (106, 5.0, 6.0)]
+    points = spark.createDataFrame(list(enumerate(spots)), "i int, x double")
+    bands = spark.createDataFrame(ranges, "k int, lo double, hi double")
+    got = [(r.i, r.k) for r in range_join(points, "x", bands, "lo", "hi", 1.0).collect()]
+    want = [(i, k) for i, x in enumerate(spots) for k, lo, hi in ranges if None not in (x, lo) and lo <= x < hi]
+    assert sorted(got) == sorted(want)
+
+
+def test_law_prediction_of_unseen_points(spark):
+    kind = "g string, N_params_B double, D_tokens_B double, val_loss double"
+    law = lambda g, n, d: (1.0 if g == "a" else 2.0) + 3 * n**-0.5 + d**-0.5
+    seen = [(g, float(n), float(d), law(g, n, d)) for g in "ab" for n in range(1, 6) for d in range(1, 6)]
+    fits = laws.fit_law(spark.createDataFrame(seen, kind), [0.4, 0.5], [0.5, 0.6], ["g"])
+    new = spark.createDataFrame([("a", 40.0, 50.0, law("a", 40, 50) + 1), ("b", 9.0, 9.0, law("b", 9, 9)), ("c", 1.0, 1.0, 1.0), ("b", 0.0, 1.0, 1.0), ("b", 1.0, 1.0, None)], kind)
+    got = {r.g: (r.held_out_rmse, r.n) for r in laws.held_out_error(new, fits, ["g"]).collect()}
+    assert got == {"a": (pytest.approx(1, abs=1e-6), 1), "b": (pytest.approx(0, abs=1e-5), 1)}
+    one = laws.fit_law(spark.createDataFrame(seen[:25], kind), [0.5], [0.5])
+    assert laws.predict(new.where("g = 'a'"), one, []).first().predicted == pytest.approx(law("a", 40, 50), abs=1e-6)
+
+
 def test_published_law_and_mixture_sums(spark):
     row = spark.range(1).select(laws.project(F.lit(70.0), F.lit(1400.0)).alias("l")).first()
     assert row.l == pytest.approx(1.69 + 406.4 / 70e9**0.34 + 410.7 / 1400e9**0.28)
