@@ -98,7 +98,7 @@ def piece_keys(text: np.ndarray, size: int) -> np.ndarray:
 class Index:
     """Pieces of a chunk of items, and the blocks that they belong to."""
 
-    def __init__(self, items: list[tuple[list[int], str]], p: Limits):
+    def __init__(self, items: list[tuple[list[str], str]], p: Limits):
         self.items = items
         self.limit = [int(p.edits * len(t)) for _, t in items]
         item, offset, size, spare, found, where = [], [], [], [], {}, []
@@ -225,22 +225,28 @@ def leaks_of(column, index: Index):
                 yield row + d, n, e
 
 
-def chunks(benchmark: DataFrame, p: Limits) -> list[DataFrame]:
-    """Items (item_id, text) in chunks whose text fits ``chunk_bytes``, dealt by a hash of the text."""
+def numbered(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and text_id, a digest of the text, of the items that have both."""
     some = fold(benchmark, "item_id", "text").where("item_id is not null and text is not null")
+    return some.select(F.col("item_id").cast("long").alias("item_id"), "text", F.sha2("text", 256).alias("text_id"))
+
+
+def chunks(benchmark: DataFrame, p: Limits) -> list[DataFrame]:
+    """The distinct texts of the items, under their digests, in chunks whose text fits ``chunk_bytes``, dealt by a hash of the text."""
+    some = numbered(benchmark).select("text_id", "text").distinct()
     size = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + 2 * int(size) // p.chunk_bytes
     return [some if n == 1 else some.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Limits) -> DataFrame:
-    """key, item_id, edits of ``docs`` (key, text); a key may come several times."""
+    """key, text_id (of an item's text), edits of ``docs`` (key, text); a key may come several times."""
     spark, out = docs.sparkSession, None
     kind = docs.schema["key"].dataType.simpleString()
     for chunk in chunks(benchmark, p):
         by: dict = {}
         for r in chunk.collect():  # at most about chunk_bytes of text
-            by.setdefault(plain(r.text.encode()), set()).add(r.item_id)
+            by.setdefault(plain(r.text.encode()), set()).add(r.text_id)
         index = spark.sparkContext.broadcast(Index(sorted((sorted(ids), t) for t, ids in by.items() if t), p))
 
         @lean
@@ -250,9 +256,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Limits) -> DataFrame:
             for b in batches:
                 rows = [(k, i, d) for k, item, d in leaks_of(b.column("text"), index.value) for i in index.value.items[item][0]]
                 keys = b.column("key").take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["key", "item_id", "edits"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["key", "text_id", "edits"])
 
-        part = docs.mapInArrow(run, f"key {kind}, item_id long, edits long")
+        part = docs.mapInArrow(run, f"key {kind}, text_id string, edits long")
         out = part if out is None else out.union(part)
     return out
 
@@ -269,7 +275,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) ->
     side give no rows.
     """
     found = leaks(fold(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("key"), "text"), benchmark, p)
-    return found.groupBy(F.col("key").alias("doc_id"), "item_id").agg(F.min("edits").alias("edits"))
+    found = found.groupBy("key", "text_id").agg(F.min("edits").alias("edits"))
+    ids = numbered(benchmark).select("item_id", "text_id").distinct()
+    return found.join(ids, "text_id").groupBy(F.col("key").alias("doc_id"), "item_id").agg(F.min("edits").alias("edits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Limits = Limits()) -> DataFrame:
