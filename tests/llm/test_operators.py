@@ -647,3 +647,13 @@ def test_empty_tables_long_texts_and_clashing_columns(spark):
     assert {(r.conv_id, r.loss_chars) for r in chat.chat_digests(chat.format_chats(chats)).collect()} == {(1, 240_000), (None, 0)}
     empty = frame(spark, [])
     assert tokencount.token_counts(empty, ["a"], ["b"]).collect() == sampling.segment(empty, vocabulary).collect() == decontaminate.contaminated(empty, items).collect() == []
+
+
+def test_many_items_with_one_text(spark):
+    text = "a benchmark question that stands under many ids"
+    items = frame(spark, [(k, text) for k in range(300)] + [(300, text.upper() + " "), (None, text), (301, None)], "item_id long, text string")
+    docs = frame(spark, [(1, f"before {text} after"), (1, "other"), (2, "nothing of it"), (None, text.replace("many", "manx"))])
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(d, k, e) for d, e in ((1, 0), (None, 1)) for k in range(301)}
+    assert sum(c.count() for c in decontaminate.chunks(items, decontaminate.Limits())) == 2
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [2]
