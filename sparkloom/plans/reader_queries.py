@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.session import shared_root, table
 from sparkloom.sources import readers
+from sparkloom.sources.connectors import write_xz_lines
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -91,6 +92,29 @@ def read_xz(spark, d):
     return readers.read_xz_lines(spark, path, "a int, t string")
 
 
+@query("SELECT doc_id, md5(text) AS digest, lang, source, n_chars FROM documents")
+def xz_documents(spark, d):
+    """All documents, written as xz lines in blocks of 1 MB by the verifying sink, and read by the blocks that begin in each 4 MB."""
+    path = folder(spark)
+    write_xz_lines(table(spark, d, "documents").repartition(2), path, block=1 << 20)
+    rows = readers.read_xz_lines(spark, path, table(spark, d, "documents").schema, split=4 << 20)
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang", "source", "n_chars")
+
+
+@query(
+    """SELECT source, digest FROM (SELECT source, md5(text) AS digest, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+    WHERE (n - 6) % 10 < 3 AND n > 5"""
+)
+def document_ranges(spark, d):
+    """Three of every ten records of 33 bytes, from the sixth on, of files that hold a source's digests in the order of their ids."""
+    path = folder(spark)
+    rows = table(spark, d, "documents").repartition("source").sortWithinPartitions("doc_id")
+    rows.select("source", F.md5(F.col("text").cast("binary")).alias("digest")).write.partitionBy("source").text(path)
+    got = readers.read_byte_range(spark, f"{path}/*/*.txt", 33 * 5, 33 * 3, 33 * 10)
+    source = F.url_decode(F.regexp_extract("path", "source=([^/]*)", 1))
+    return got.select(source.alias("source"), F.explode(F.split(F.rtrim(F.decode("bytes", "utf-8"), F.lit("\n")), "\n")).alias("digest"))
+
+
 @query("SELECT 'sha256:' || md5(n_name) AS oid, CAST(n_nationkey AS BIGINT) AS size FROM nation")
 def read_pointers(spark, d):
     """Pointers that stand in place of data, among files that are data."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import lzma
+import io
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.plans.schemas import PROVENANCE, SCHEMAS
+from sparkloom.sources import xz
+from sparkloom.sources.connectors import byte_ranges
+from sparkloom.sources.files import SEEKABLE, open_file, scheme_of
 
 #: First line of a large-file pointer that stands in place of data (fixed by its public format).
 POINTER = "version https://git-lfs.github.com/spec/"
@@ -58,30 +61,54 @@ def read_parquet_folder(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(path)
 
 
-def read_xz_lines(spark: SparkSession, path: str, schema: T.StructType, block: int = 1 << 20) -> DataFrame:
-    """JSON lines compressed with xz. A file is one task, as xz can't be split; it is decompressed in blocks of ``block`` bytes."""
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of files, without reading them."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
 
-    def lines(batches):
+
+def xz_lines(spark: SparkSession, path: str, split: int = 32 << 20) -> DataFrame:
+    """path and line of all lines of xz files that are not blank.
+
+    Files are cut every ``split`` bytes, and a task reads the blocks that begin in
+    its part: it finds them by the file's indexes, and goes on into later blocks
+    only to end its last line. Files of one block are one task. Several streams are
+    read one after another; files that are cut off or damaged are errors. Files of
+    no bytes don't come up in Spark's listing and have no lines. Where tasks can't seek (``SEEKABLE``) Spark hands them whole files of up to 2 GB.
+    """
+
+    def batch(name, lines):
         import pyarrow as pa
 
+        lines = pa.array([x for x in lines if x.strip()], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), lines], ["path", "line"])
+
+    def of_parts(batches):
         for b in batches:
-            for content in b.column("content"):
-                raw, tail, unpack = content.as_py(), b"", lzma.LZMADecompressor()
-                at = 0
-                while at < len(raw) or not unpack.needs_input and not unpack.eof:
-                    data = unpack.decompress(raw[at : at + block] if unpack.needs_input else b"", block)
-                    at += block if unpack.needs_input or at == 0 else 0
-                    *whole, tail = (tail + data).split(b"\n")
-                    if whole:
-                        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in whole if w.strip()], pa.string())], ["line"])
-                    if unpack.eof:
-                        break
-                if tail.strip():
-                    yield pa.RecordBatch.from_arrays([pa.array([tail.decode()], pa.string())], ["line"])
+            for name, length, low in zip(*(b.column(c).to_pylist() for c in ("path", "length", "low")), strict=True):
+                with open_file(name) as f:
+                    for lines in xz.lines_between(f, length, low, low + split):
+                        yield batch(name, lines)
+
+    def of_files(batches):
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                data = content.as_py()
+                for lines in xz.lines_between(io.BytesIO(data), len(data), 0, len(data)):
+                    yield batch(name, lines)
 
     reject_pointers(spark, path)
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string")
-    return raw.select(F.from_json("line", schema).alias("r")).select("r.*")
+    kind = "path string, line string"
+    if scheme_of(path) not in SEEKABLE:
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(of_files, kind)
+    files = files_of(spark, path)
+    parts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("low"))
+    return parts.repartition(max(1, parts.count())).mapInArrow(of_parts, kind)
+
+
+def read_xz_lines(spark: SparkSession, path: str, schema: T.StructType | str, split: int = 32 << 20) -> DataFrame:
+    """JSON lines compressed with xz, by a declared schema; lines that don't fit it are an error."""
+    rows = xz_lines(spark, path, split).select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
+    return rows.select("r.*")
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
@@ -94,10 +121,15 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("model", "task", F.explode("metrics").alias("metric", "text")).select("model", "task", "metric", F.expr("try_cast(text AS double)").alias("value"))
 
 
-def read_byte_range(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
-    """path and the bytes from ``start`` on of each file, without decoding them (a range sample, not a row sample)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.substring("content", start + 1, length).alias("bytes"))
+def read_byte_range(spark: SparkSession, path: str, start: int, length: int, every: int = 0) -> DataFrame:
+    """path, start and bytes of a range of each file, without decoding (a range sample, not a row sample); with ``every`` of
+    further ranges so many bytes apart. Tasks seek to the ranges; where they can't, Spark reads whole files."""
+    if scheme_of(path) in SEEKABLE:
+        return byte_ranges(spark, [tuple(r) for r in files_of(spark, path).collect()], start, length, every)
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > start)
+    starts = F.sequence(F.lit(start).cast("long"), F.col("length") - 1, F.lit(every).cast("long")) if every else F.array(F.lit(start).cast("long"))
+    rows = files.select("path", F.explode(starts).alias("start"), "content")
+    return rows.select("path", "start", F.expr(f"substring(content, start + 1, {length})").alias("bytes"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
