@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ _ENDS_P = _BLOCK - frozenset("body html caption tbody td tfoot th thead tr legen
 #: Elements that a new element of the kind ends, and the elements that such a search stays inside.
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 _SCOPE = frozenset("ul ol dl table select html body article section div aside nav main td th".split())
+#: The elements that such a search looks at.
+_STOPS = _SCOPE | {"p"} | {x for ended in _SAME.values() for x in ended}
 #: Elements that show no text of the page, or a form's controls.
 _DROP_TAG = frozenset("button select datalist input textarea script style noscript noembed noframes template iframe object embed svg canvas audio video head title xmp".split())
 # Names by which parts of a page say that they aren't its article.
@@ -56,11 +59,12 @@ NAMED, OUTSIDE = 1 / 32, 1 / 4
 
 
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "named", "other", "parent", "parts", "plain", "tag", "tags", "total", "under", "weight")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "named", "near", "other", "parent", "parts", "plain", "tag", "tags", "total", "under", "weight")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts, self.kids = tag, parent, [], []
         self.under = tag in ("article", "main") or bool(parent and parent.under)
+        self.near: Node | None = self if tag in _STOPS else parent and parent.near  # itself or the nearest node around it that ends a search
         self.named: set | None = None  # the words that name the node something else
         self.other, self.weight = False, 1.0
 
@@ -131,10 +135,24 @@ def weigh(root: Node, names: bool = True) -> list[Node]:
 
 
 def parse(page: str) -> Node:
-    """Tree of the wanted nodes; text stands in ``parts`` between the children, in page order."""
+    """Tree of the wanted nodes; text stands in ``parts`` between the children, in page order.
+
+    The time is linear in the page, whatever its tags: open elements are counted by name, so an end tag without a partner costs
+    nothing, and each element is left once.
+    """
     root = node = Node("#root", None)
+    opened: Counter = Counter()  # names of the nodes around the place, itself included
     skipped: list[str] = []  # open elements inside an unwanted one
+    inside: Counter = Counter()  # their names
     at, for_end = 0, {}
+
+    def leave(to: Node) -> Node:
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return node
+
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -147,19 +165,23 @@ def parse(page: str) -> Node:
             continue
         if m[1]:
             if skipped:
-                if tag in skipped:
-                    del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
+                if inside[tag]:
+                    while True:
+                        last = skipped.pop()
+                        inside[last] -= 1
+                        if last == tag:
+                            break
                     continue
                 if tag not in ("body", "html", "article", "main"):
                     continue
                 skipped.clear()  # the element around the unwanted one ends
+                inside.clear()
             if tag in ("body", "html"):
                 continue  # what follows still belongs to the body
-            up = node
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                node = up.parent
+            if opened[tag]:
+                while node.tag != tag:
+                    leave(node.parent)
+                leave(node.parent)
             continue
         void = tag in _VOID or m[3].rstrip().endswith("/") and tag not in _BLOCK
         if skipped:
@@ -167,23 +189,24 @@ def parse(page: str) -> Node:
                 at = raw_end(page, tag, at, for_end)
             elif not void and not ends(skipped, tag):
                 skipped.append(tag)
+                inside[tag] += 1
             continue
         if tag in _ENDS_P or tag in _SAME:
             ended = ("p",) if tag not in _SAME else _SAME[tag]
-            up, last = node, None
-            while up.parent and (up.tag not in _SCOPE or up.tag in ended):
+            up, last = node.near, None
+            while up and (up.tag not in _SCOPE or up.tag in ended):
                 if up.tag in ended:
                     last = up
                     if tag not in ("tr", "optgroup"):
                         break
-                up = up.parent
+                up = up.parent.near
             if last:
-                node = last.parent
-        if tag in ("html", "body") and any(n.tag == tag for n in lineage(node)):
+                leave(last.parent)
+        if tag in ("html", "body") and opened[tag]:
             continue
         if tag == "body":
             while node.tag not in ("html", "#root"):
-                node = node.parent
+                leave(node.parent)
         drop = unwanted(tag, m[3])
         if tag in _RAW:
             end = raw_end(page, tag, at, for_end)
@@ -195,16 +218,21 @@ def parse(page: str) -> Node:
                 node.parts.append(" " if tag != "wbr" else "")
         elif drop:
             if tag == "head":
-                head = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                at = (head.end() if head[0][1] == "/" else head.start()) if head else at
+                head = None if "head" in for_end else re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
+                if head:
+                    at = head.end() if head[0][1] == "/" else head.start()
+                else:
+                    for_end["head"] = -1
             else:
                 skipped.append(tag)
+                inside[tag] += 1
         else:
             child = Node(tag, node)
             child.named = named(tag, m[3], node.under)
             node.kids.append(child)
             node.parts.append(child)
             node = child
+            opened[tag] += 1
 
 
 def ends(skipped: list[str], tag: str) -> bool:
@@ -282,20 +310,26 @@ def content(root: Node, names: bool = True) -> set[int]:
     top: dict[int, Node] = {}
     for n in inside:  # best subtree at or below each node
         top[id(n)] = max([n, *(top[id(k)] for k in n.kids if not k.other)], key=lambda x: x.total)
-    chosen = {id(widened(best, names))}
+    whole = wholes(order) if names else {}
+    wide = lambda n: id(whole.get(id(n), n))
+    chosen = {wide(best)}
     for n in inside:
         if n.density >= threshold and top[id(n)].total >= threshold and n.chars and not n.other:
-            chosen.add(id(widened(top[id(n)], names)))
+            chosen.add(wide(top[id(n)]))
     return chosen
 
 
-def widened(node: Node, names: bool) -> Node:
-    """The article element around the node, else the main element, if most of its text is no link; else the node."""
-    for tag in ("article", "main") if names else ():
-        for n in lineage(node):
-            if n.tag == tag and 2 * n.link_chars < n.chars:
-                return n
-    return node
+def wholes(order: list[Node]) -> dict[int, Node]:
+    """For each node in one the nearest article element around it, else the nearest main element, of those whose text is mostly no link."""
+    out: dict[int, Node] = {}
+    for tag in ("main", "article"):
+        found: dict[int, Node] = {}
+        for n in reversed(order):  # parents first
+            own = n if n.tag == tag and 2 * n.link_chars < n.chars else found.get(id(n.parent))
+            if own:
+                found[id(n)] = own
+        out |= found
+    return out
 
 
 def path_to(node: Node, body: Node):
