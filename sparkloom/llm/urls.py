@@ -65,7 +65,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def canonical(host: Column, path: Column) -> tuple[Column, Column]:
     """Host without user, port and outer dots; path decoded, that begins with a slash, without double slashes and dot segments."""
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"^\.+|\.+$", "")
+    host = F.btrim(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), F.lit("."))
     path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     path = F.regexp_replace(F.concat(F.lit("/"), path), r"/+", "/")
     up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
@@ -73,16 +73,36 @@ def canonical(host: Column, path: Column) -> tuple[Column, Column]:
     return host, F.when(F.regexp_like(path, F.lit(r"/\.\.?(/|$)")), F.concat(F.lit("/"), F.array_join(flat, "/"))).otherwise(path)
 
 
-def keys_of(host: Column, path: Column, query: Column) -> Column:
+@dataclass(frozen=True)
+class Shape:
+    """What the keys of a listing have at most: labels of the host, slashes, characters. Longer keys of a url can't be among them."""
+
+    labels: int
+    slashes: int
+    chars: int
+
+
+def shape_of(listing: DataFrame) -> tuple[int, Shape]:
+    """Number of keys, and their shape."""
+    count = lambda text, c: F.max(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))))
+    host, key = F.regexp_extract("key", "^[^/]*", 0), F.col("key")
+    n, dots, slashes, chars = listing.agg(F.count("*"), count(host, "."), count(key, "/"), F.max(F.length(key))).first()
+    return n, Shape((dots or 0) + 1, max(slashes or 0, 1), chars or 0)
+
+
+def keys_of(host: Column, path: Column, query: Column, shape: Shape) -> Column:
     """Keys to look up: the host and its suffixes, with and without the port (80 and 443 are none), each with the
-    path and query string, the whole path and each of its folders."""
+    path and query string, the whole path and each of its folders; only those that are no longer than ``shape``
+    in any way are built, so a url of any length gives as many as the listing's own keys would."""
     port = F.regexp_replace(F.regexp_extract(host, r":[0-9]+$", 0), r"^:(80|443)$", "")
     host, path = canonical(host, path)
     parts, folders = F.split(host, r"\."), F.split(path, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    count = F.size(parts)
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(count, F.lit(shape.labels))), lambda n: F.array_join(F.slice(parts, count - n + 1, n), "."))
+    suffixes = F.filter(suffixes, lambda h: F.length(h) < shape.chars)
     hosts = F.array_distinct(F.concat(suffixes, F.transform(suffixes, lambda h: F.concat(h, port))))
-    paths = F.transform(F.sequence(F.lit(1), F.size(folders) - 1), lambda n: F.concat(F.array_join(F.slice(folders, F.lit(1), n), "/"), F.lit("/")))
-    paths = F.array_distinct(F.concat(F.array(F.concat(path, query), path), paths))
+    paths = F.transform(F.sequence(F.lit(1), F.least(F.size(folders) - 1, F.lit(shape.slashes))), lambda n: F.concat(F.array_join(F.slice(folders, F.lit(1), n), "/"), F.lit("/")))
+    paths = F.filter(F.array_distinct(F.concat(F.array(F.concat(path, query), path), paths)), lambda p: F.length(p) < shape.chars)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
 
 
@@ -101,9 +121,9 @@ def build_filter(listing: DataFrame, blocks: int) -> DataFrame:
     return listing.groupBy(block_of(F.col("key"), blocks).alias("block")).agg(*bit)
 
 
-def possible(keys: DataFrame, listing: DataFrame, p: Bloom) -> DataFrame:
-    """Rows of ``keys`` (with a column key) whose bits are all set."""
-    n = listing.count()
+def possible(keys: DataFrame, listing: DataFrame, p: Bloom, n: int | None = None) -> DataFrame:
+    """Rows of ``keys`` (with a column key) whose bits are all set in the filter of ``listing``; ``n`` is its number of keys, if known."""
+    n = listing.count() if n is None else n
     blocks = max(1, -(-n * p.bits // 256))
     table = build_filter(listing, blocks)
     if blocks * 72 <= p.broadcast_bytes:  # a row is a block number and eight lanes
@@ -117,9 +137,10 @@ def possible(keys: DataFrame, listing: DataFrame, p: Bloom) -> DataFrame:
 def listed_urls(urls: DataFrame, listing: DataFrame, p: Bloom = Bloom()) -> DataFrame:
     """Distinct url of ``urls`` with a key in ``listing`` (key: canonical host and path, with the query string or port if only that url is listed)."""
     listing = listing.where("key is not null").select("key").distinct()
+    n, shape = shape_of(listing)
     keys = urls.where("url is not null").select("url")  # tested where they are read: only possible hits are shuffled
-    keys = keys.select("url", F.explode(F.array_distinct(keys_of(host_of(F.col("url")), path_of(F.col("url")), query_of(F.col("url"))))).alias("key"))
-    return possible(keys, listing, p).join(listing, "key").select("url").distinct()
+    keys = keys.select("url", F.explode(F.array_distinct(keys_of(host_of(F.col("url")), path_of(F.col("url")), query_of(F.col("url")), shape))).alias("key"))
+    return possible(keys, listing, p, n).join(listing, "key").select("url").distinct()
 
 
 def url_verdicts(pages: DataFrame, listing: DataFrame, rules=RULES, p: Bloom = Bloom()) -> DataFrame:
@@ -127,7 +148,8 @@ def url_verdicts(pages: DataFrame, listing: DataFrame, rules=RULES, p: Bloom = B
 
     A null url, or one without ``://``, has an empty host and path, fits no rule
     and is allowed. Repeated rows and null ids are judged like any others; an
-    empty table gives no rows, an empty listing lists nothing.
+    empty table gives no rows, an empty listing lists nothing. A long url costs what
+    its length costs: the listing's own shape bounds the keys that are built for it.
     """
     pages = fold(pages, "page_id", "url")
     hit = listed_urls(pages, listing, p).withColumn("listed", F.lit(True))

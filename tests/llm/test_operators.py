@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -286,6 +287,31 @@ def test_listed_suffixes_folders_and_queries(spark):
     assert sorted(r.url for r in got.collect()) == sorted(listed)
 
 
+def test_long_urls_cost_their_length(spark):
+    listing = frame(spark, [("x.org/1/2/3/4/5/",), ("b.c.d.org/",), ("y.org:8080/q?" + "k" * 3000,), ("z.org/a/",)], "key string")
+    labels, folders = "a." * 1000, "f/" * 3000
+    listed = [f"http://{labels}x.org/1/2/3/4/5/{folders}", f"http://{labels}b.c.d.org:80/{folders}", "http://y.org:8080/q?" + "k" * 3000, "http://z.org/" + "b/../" * 1600 + "a/c", "http://z.org" + "/" * 8000 + "a/"]
+    free = [f"http://{labels}x.org/1/2/3/4/6/{folders}", f"http://{'x.' * 4000}org/", "http://z.org/" + "a/../" * 1600, "http://z.org/" + "a" * 8000, "http://" + "." * 8000 + "b/", "http://" + "@" * 8000, "http://z.org/" + "%2e" * 2600]
+    seconds = {}
+    for rows in (["http://z.org/a/", "http://z.org/b/"], listed + free):
+        for k in range(2):  # the first run compiles
+            began = time.time()
+            got = urls.listed_urls(frame(spark, [(u,) for u in rows], "url string"), listing).collect()
+            seconds[len(rows)] = time.time() - began
+    assert sorted(r.url for r in got) == sorted(listed)
+    assert seconds[len(listed + free)] < seconds[2] + len(listed + free)
+
+
+def test_keys_within_the_shape_are_all_keys(spark):
+    """A listing with few labels and folders finds what one with many finds."""
+    rng = random.Random(6)
+    part = lambda: rng.choice(["a", "b", "c", "org"])
+    rows = [f"http://{'.'.join(part() for _ in range(rng.randint(1, 5)))}{rng.choice(['', ':81'])}/{'/'.join(part() for _ in range(rng.randint(0, 4)))}{rng.choice(['', '/', '?a'])}" for _ in range(300)]
+    keys = [f"{'.'.join(part() for _ in range(rng.randint(1, 3)))}/{'/'.join(part() for _ in range(rng.randint(0, 2)))}{rng.choice(['', '/', '?a'])}" for _ in range(60)]
+    found = [{r.url for r in urls.listed_urls(frame(spark, [(u,) for u in rows], "url string"), frame(spark, [(k,) for k in keys + more], "key string")).collect()} for more in ([], ["q." * 20 + "q/" + "q/" * 20])]
+    assert found[0] == found[1] and 20 < len(found[0]) < 300
+
+
 @pytest.mark.parametrize("limit", [0, 64 << 20])
 def test_filter_keeps_every_listed_key(spark, limit):
     listing = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".org/")).alias("key"))
@@ -295,6 +321,27 @@ def test_filter_keeps_every_listed_key(spark, limit):
     assert urls.possible(keys, listing.limit(0), urls.Bloom()).count() == 0
 
 
+HOSTILE = {
+    "stray end tags": "<b>" * 30_000 + "</i>" * 30_000,
+    "paragraphs in depth": "<b>" * 30_000 + "<p>w" * 30_000,
+    "stray end tags in a menu": "<nav>" + "<b>" * 30_000 + "</i>" * 30_000 + "<i></i>" * 10_000,
+    "heads": "<head>" * 40_000,
+    "bodies in depth": "<b>" * 30_000 + "<body>" * 20_000,
+    "lists in depth": "<ul><li><b>" * 15_000,
+    "articles in depth": "<article><p>some words" * 10_000,
+    "attributes": "<a " + "x " * 60_000 + ">" + '<a ="" ' * 20_000,
+    "signs": "<" * 100_000 + "&amp" * 30_000,
+    "raw text": "<textarea>" * 20_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_page_time_is_linear(name):
+    began = time.process_time()
+    mainhtml.main_text(HOSTILE[name])
+    assert time.process_time() - began < 5  # quadratic time would be minutes
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(8)
     prose = lambda k: " ".join("".join(rng.choices(WORDS, k=rng.randint(1, 4))) for _ in range(k))
