@@ -186,12 +186,33 @@ def duplicate_counts(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("copies")).groupBy("copies").agg(F.count("*").alias("n_texts"))
 
 
-NAMES = [("smal ring",), ("red widgit",), ("blue gaget",), ("nothing",)]
+def edited_names(spark, d):
+    """Names of parts with an edit each, at a place that their key gives: a letter less, another letter, or two letters more, the first ones among them."""
+    at = (F.col("p_partkey") % F.length("p_name")).cast("int")
+    before, letter, after = F.substr("p_name", F.lit(1), at), F.substr("p_name", at + 1, F.lit(1)), F.substr("p_name", at + 2)
+    kind = F.col("p_partkey") % 3
+    return table(spark, d, "part").select(F.when(kind == 0, F.concat(before, after)).when(kind == 1, F.concat(before, F.lit("q"), after)).otherwise(F.concat(before, F.lit("xy"), letter, after)).alias("name")).distinct()
 
 
-@query(f"WITH c AS (SELECT v.name, p.p_name, levenshtein(replace(v.name, ' ', ''), replace(p.p_name, ' ', '')) AS distance FROM {values(NAMES, 'name')} JOIN (SELECT DISTINCT p_name FROM part) p ON substr(replace(v.name, ' ', ''), 1, 3) = substr(replace(p.p_name, ' ', ''), 1, 3)), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, p_name) AS k FROM c WHERE distance <= 3) SELECT name, p_name, distance FROM r WHERE k = 1")
+_EDITED = """(SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, pos) || substr(p_name, pos + 2) WHEN 1 THEN substr(p_name, 1, pos) || 'q' || substr(p_name, pos + 2)
+    ELSE substr(p_name, 1, pos) || 'xy' || substr(p_name, pos + 1) END AS name FROM (SELECT *, p_partkey % length(p_name) AS pos FROM part))"""
+
+
+@query(f"SELECT name, p_name, levenshtein(name, p_name) AS distance FROM {_EDITED} JOIN (SELECT DISTINCT p_name FROM part) ON levenshtein(name, p_name) <= 3")
+def edit_distance_names(spark, d):
+    """All pairs of edited and true names at a distance of three or less."""
+    return cleaning.edit_pairs(edited_names(spark, d), table(spark, d, "part"), "name", "p_name").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query(
+    f"""WITH a AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM {_EDITED}),
+    b AS (SELECT DISTINCT p_name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS l FROM part),
+    c AS (SELECT name, p_name, levenshtein(k, l) AS distance FROM a CROSS JOIN b)
+    SELECT name, p_name, distance FROM c WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, p_name) = 1"""
+)
 def fuzzy_names(spark, d):
-    return cleaning.fuzzy_match(spark.createDataFrame(NAMES, "name string"), table(spark, d, "part"), "name", "p_name").withColumn("distance", F.col("distance").cast("long"))
+    """The nearest true name of each edited one."""
+    return cleaning.fuzzy_match(edited_names(spark, d), table(spark, d, "part"), "name", "p_name").withColumn("distance", F.col("distance").cast("long"))
 
 
 TAGS = [(1, "<b>Model</b> one", -1), (2, "plain", 5), (3, None, None), (4, "<a href='x'>y</a><br/>z", 0)]
