@@ -23,7 +23,8 @@ def exactly_one(ops: Column, operator: str) -> Column:
     return F.size(F.filter(ops, lambda o: o["op"] == operator)) == 1
 
 
-def _shaded(o: Column) -> Column:
+def shaded(o: Column) -> Column:
+    """Three arguments, all of the overlay shade."""
     return (F.size(o["args"]) == 3) & F.forall(o["args"], lambda a: near(a, OVERLAY_SHADE))
 
 
@@ -33,8 +34,8 @@ def is_overlay(ops: Column) -> Column:
         only_operators(ops)
         & exactly_one(ops, "BT")
         & F.exists(ops, lambda o: (o["op"] == "Tf") & near(F.get(o["args"], F.lit(1)), OVERLAY_SIZE))
-        & F.exists(ops, lambda o: (o["op"] == "rg") & _shaded(o))
-        & F.forall(ops, lambda o: ~o["op"].isin("rg", "RG") | _shaded(o))
+        & F.exists(ops, lambda o: (o["op"] == "rg") & shaded(o))
+        & F.forall(ops, lambda o: ~o["op"].isin("rg", "RG") | shaded(o))
     )
 
 
@@ -70,7 +71,7 @@ def group_intervals(ops: Column) -> Column:
         made = F.array(F.struct(F.get(s["stack"], F.size(s["stack"]) - 1).alias("start"), (s["at"] + 1).alias("stop")))
         return F.struct(stack.alias("stack"), F.when(closes & ~empty, F.concat(s["out"], made)).otherwise(s["out"]).alias("out"), (s["at"] + 1).alias("at"), (s["bad"] | (closes & empty)).alias("bad"))
 
-    return F.aggregate(ops, start, step, lambda s: F.when(s["bad"] | (F.size(s["stack"]) > 0), F.raise_error(F.lit("Unbalanced graphics state")).cast("array<struct<start:int,stop:int>>")).otherwise(s["out"]))
+    return F.aggregate(ops, start, step, lambda s: F.when(s["bad"] | (F.size(s["stack"]) > 0), F.raise_error(F.lit("a group is closed twice or never")).cast("array<struct<start:int,stop:int>>")).otherwise(s["out"]))
 
 
 def interval_positions(intervals: Column) -> Column:
@@ -80,7 +81,8 @@ def interval_positions(intervals: Column) -> Column:
 
 def without_positions(items: Column, positions: Column) -> Column:
     """The items whose place from 0 is not among ``positions``, in order."""
-    return F.filter(items, lambda _, i: ~F.array_contains(positions, i))
+    places = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array_except(places, positions), lambda i: F.get(items, i))
 
 
 def remove_overlays(pages: DataFrame) -> DataFrame:
@@ -115,11 +117,17 @@ def compare_pages(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def changed_pixels(before: DataFrame, after: DataFrame) -> DataFrame:
-    """doc, page, x, y of pixels that differ; pages (doc, page, width, pixels: array) of equal size."""
-    one = before.select("doc", "page", "width", F.posexplode("pixels").alias("at", "old"))
-    two = after.select("doc", "page", F.posexplode("pixels").alias("at", "new"))
-    both = one.join(two, ["doc", "page", "at"]).where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.select("doc", "page", F.pmod("at", "width").alias("x"), F.floor(F.col("at") / F.col("width")).cast("int").alias("y"))
+    """doc, page, x, y of pixels that differ; pages (doc, page, width, pixels: array) of equal size.
+
+    Pages meet as whole arrays, and only places that differ become rows.
+    """
+    one = before.select("doc", "page", "width", F.col("pixels").alias("_old"))
+    both = one.join(after.select("doc", "page", F.col("pixels").alias("_new")), ["doc", "page"])
+    places = F.when(F.size("_old") > 0, F.sequence(F.lit(0), F.least(F.size("_old"), F.size("_new")) - 1)).otherwise(F.array().cast("array<int>"))
+    differs = F.zip_with("_old", "_new", lambda a, b: ~a.eqNullSafe(b))
+    rows = both.where(~F.col("_old").eqNullSafe(F.col("_new"))).withColumn("_differs", differs)
+    rows = rows.select("doc", "page", "width", F.explode(F.filter(places, lambda i: F.get(F.col("_differs"), i))).alias("at"))
+    return rows.select("doc", "page", F.pmod("at", "width").alias("x"), F.floor(F.col("at") / F.col("width")).cast("int").alias("y"))
 
 
 def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float = 2.0, cell: int = 64) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 import lzma
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.session import shared_root, table
+from sparkloom.session import new_folder as folder
+from sparkloom.session import table
 from sparkloom.sources import readers
 from sparkloom.sources.connectors import write_xz_lines
 
@@ -26,10 +26,6 @@ def query(sql: str):
     return add
 
 
-def folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
-
-
 def put(spark: SparkSession, path: str, data: bytes) -> str:
     """Write a file where all executors can read it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,6 @@ from sparkloom.functions import cleaning, layout
 from sparkloom.operators import laws, study
 from sparkloom.plans.schemas import DOMAINS, LOSS_DOMAINS
 from sparkloom.session import table
-from sparkloom.sources.writers import report
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -215,45 +214,8 @@ def fuzzy_names(spark, d):
     return cleaning.fuzzy_match(edited_names(spark, d), table(spark, d, "part"), "name", "p_name").withColumn("distance", F.col("distance").cast("long"))
 
 
-TAGS = [(1, "<b>Model</b> one", -1), (2, "plain", 5), (3, None, None), (4, "<a href='x'>y</a><br/>z", 0)]
-
-
-@query(f"SELECT id, trim(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS t, nullif(n, -1) AS n FROM {values(TAGS, 'id, t, n')}")
-def tag_cleaning(spark, d):
-    rows = spark.createDataFrame(TAGS, "id int, t string, n int")
-    return rows.select("id", cleaning.strip_tags(F.col("t")).alias("t"), cleaning.null_if(F.col("n"), -1).alias("n"))
-
-
 # --- pages ---------------------------------------------------------------------
 
-_SHADE = [0.988, 0.988, 0.988]
-_HIDDEN = [("q", []), ("BT", []), ("Tf", [1.0, 5.0]), ("rg", _SHADE), ("Tj", []), ("ET", []), ("Q", [])]
-_SHOWN = [("q", []), ("BT", []), ("Tf", [1.0, 9.0]), ("rg", [0.0, 0.0, 0.0]), ("Tj", []), ("ET", []), ("Q", [])]
-PAGE_OPS = [("d", 1, _SHOWN + _HIDDEN), ("d", 2, _SHOWN), ("d", 3, [("q", []), *_HIDDEN, *_SHOWN, ("Q", [])]), ("e", 1, _HIDDEN + _HIDDEN), ("e", 2, [])]
-_OPS = "doc string, page int, ops array<struct<op:string,args:array<double>>>"
-
-
-@query("SELECT * FROM (VALUES ('d', 1, 1, 7), ('d', 2, 0, 7), ('d', 3, 1, 9), ('e', 1, 2, 0), ('e', 2, 0, 0)) v(doc, page, removed, ops_left)")
-def overlay_removal(spark, d):
-    out = layout.remove_overlays(spark.createDataFrame(PAGE_OPS, _OPS))
-    return out.select("doc", "page", "removed", F.size("ops").alias("ops_left"))
-
-
-@query("SELECT * FROM (VALUES ('d', 1, 0, 7), ('d', 1, 7, 14), ('d', 2, 0, 7), ('d', 3, 1, 8), ('d', 3, 8, 15), ('d', 3, 0, 16), ('e', 1, 0, 7), ('e', 1, 7, 14)) v(doc, page, start, stop)")
-def bracket_matching(spark, d):
-    return spark.createDataFrame(PAGE_OPS, _OPS).select("doc", "page", F.explode(layout.group_intervals(F.col("ops"))).alias("i")).select("doc", "page", "i.start", "i.stop")
-
-
-_SPAN = "struct<text:string,color:int,size:double,bbox:array<double>>"
-_BEFORE = [("d", 1, 100.0, 50.0, 2, [("a", 0, 10.00001, [0.0, 1.0, 2.0, 3.00004]), ("h", 0xFCFCFC, 5.0, [0.0, 0.0, 1.0, 1.0])]), ("d", 2, 100.0, 50.0, 1, [("b", 0, 9.0, [0.0, 0.0, 1.0, 1.0])]), ("d", 3, 10.0, 10.0, 0, [])]
-_AFTER = [("d", 1, 100.0, 50.0, 2, [("a", 0, 10.00002, [0.0, 1.0, 2.0, 3.00001])]), ("d", 2, 100.0, 51.0, 0, [("c", 0, 9.0, [0.0, 0.0, 1.0, 1.0])])]
-
-
-@query("SELECT * FROM (VALUES ('d', 1, true, true, true, true, true), ('d', 2, true, false, false, true, false), ('d', 3, false, false, false, false, false)) v(doc, page, paired, same_geometry, same_visible, hidden_gone, same_links)")
-def page_comparison(spark, d):
-    kind = f"doc string, page int, width double, height double, links int, spans array<{_SPAN}>"
-    return layout.compare_pages(spark.createDataFrame(_BEFORE, kind), spark.createDataFrame(_AFTER, kind))
-
 
 def _pages(spark, d):
     docs = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.lit(20).alias("width"))
@@ -279,12 +241,6 @@ def pixels_outside_boxes(spark, d):
     return layout.outside_boxes(layout.changed_pixels(before, after), boxes, cell=8)
 
 
-@query("""SELECT * FROM (VALUES ('{"doc":"d","pages":3,"removed":2,"checks":[{"page":1,"removed":1},{"page":2,"removed":0},{"page":3,"removed":1}]}'), ('{"doc":"e","pages":2,"removed":2,"checks":[{"page":1,"removed":2},{"page":2,"removed":0}]}')) v(report)""")
-def nested_report(spark, d):
-    rows = layout.remove_overlays(spark.createDataFrame(PAGE_OPS, _OPS)).select("doc", "page", "removed")
-    return report(rows, "doc", "page", ["removed"]).select("report")
-
-
 @query("SELECT min(s_suppkey) AS s_suppkey, s_nationkey, count(*) AS copies FROM supplier GROUP BY s_nationkey")
 def identical_objects(spark, d):
     return layout.deduplicate_objects(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")

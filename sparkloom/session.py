@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,5 +39,21 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder to be written, in the shared one; it goes when the session ends."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{uuid.uuid4().hex}")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(root)
+    files.deleteOnExit(root)
+    return f"{root.toString()}/files"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read again, so that what is random or sampled in it is settled once."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

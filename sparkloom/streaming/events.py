@@ -7,13 +7,12 @@ cluster the same plans run with a continuous trigger and a lasting sink.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.session import shared_root
+from sparkloom.session import new_folder as shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,11 +28,6 @@ def query(sql: str | None):
     return add
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for sinks and offsets."""
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
-
-
 def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, as the table may be one file and a stream's base path must be a folder.

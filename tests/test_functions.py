@@ -41,7 +41,7 @@ def test_intervals_match_a_stack(spark):
 @pytest.mark.parametrize("ops", [["q"], ["Q"], ["Q", "q"]])
 def test_unbalanced_is_an_error(spark, ops):
     df = spark.createDataFrame([(1, [(o, []) for o in ops])], OPS)
-    with pytest.raises(Exception, match="Unbalanced"):
+    with pytest.raises(Exception, match="closed twice or never"):
         df.select(layout.group_intervals(F.col("ops"))).collect()
 
 

@@ -6,12 +6,12 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import reader_queries, relational, study_queries
+from sparkloom.plans import content_queries, reader_queries, relational, study_queries
 from sparkloom.session import TABLES
 from sparkloom.streaming import events
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ALL = {n: (f, m.ORACLES.get(n)) for m in (relational, study_queries, reader_queries, events) for n, f in m.QUERIES.items()}
+ALL = {n: (f, m.ORACLES.get(n)) for m in (relational, study_queries, content_queries, reader_queries, events) for n, f in m.QUERIES.items()}
 
 
 def plain(v):
