@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.layout import OVERLAY_OPERATORS, OVERLAY_SIZE, changed_pixels, compare_pages, near, outside_boxes, shaded
 from sparkloom.operators.ordered import match_brackets, outside_intervals, running_sums
+from sparkloom.session import stored
 from sparkloom.sources.writers import report
 
 PAGE = ["doc", "page"]
@@ -28,7 +29,9 @@ def overlay_groups(ops: DataFrame, block: int = 1 << 16) -> DataFrame:
         "n_shades": yes((op == "rg") & shaded(one)),
         "n_colors": yes(op.isin("rg", "RG") & ~shaded(one)),
     }
-    rows = running_sums(ops.select(*PAGE, "at", "op", "args"), PAGE, "at", counts, block)
+    own = stored(ops.select(*PAGE, "at", "op", *[c.alias(k) for k, c in counts.items()]))
+    sums = running_sums(own, PAGE, "at", {f"s{k}": F.col(k) for k in counts}, block).where(op.isin("q", "Q"))
+    rows = stored(sums.select(*PAGE, "at", "op", *[F.col(f"s{k}").alias(k) for k in counts]))
     groups = match_brackets(rows, PAGE, "at", op == "q", op == "Q", tuple(counts), block)
     inside = {k: F.col(f"{k}_stop") - F.col(k) for k in counts}
     rule = (inside["n_foreign"] == 0) & (inside["n_blocks"] == 1) & (inside["n_sizes"] > 0) & (inside["n_shades"] > 0) & (inside["n_colors"] == 0)

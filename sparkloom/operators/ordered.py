@@ -38,11 +38,12 @@ def match_brackets(steps: DataFrame, by: list[str], at: str, opens: Column, clos
     The depth is a running sum. Rows that open and close at one depth alternate,
     so the k-th of either kind belong together: an equi-join on list, depth and
     rank. Rows without a partner give nothing; ``bracket_balance`` reports them.
+    Depths and ranks are written as they are found, so that no step is computed again.
     """
     rows = steps.where(opens | closes).select(*by, at, opens.alias("_open"), *carry)
     rows = running_sums(rows, by, at, {"_depth": F.when(F.col("_open"), 1).otherwise(-1)}, block)
-    rows = rows.withColumn("_level", F.col("_depth") + F.when(F.col("_open"), 0).otherwise(1))
-    rows = running_sums(rows, [*by, "_level"], at, {"_rank": F.col("_open").cast("int")}, block)
+    rows = stored(rows.withColumn("_level", F.col("_depth") + F.when(F.col("_open"), 0).otherwise(1)))
+    rows = stored(running_sums(rows, [*by, "_level"], at, {"_rank": F.col("_open").cast("int")}, block))
     keys = [*by, "_level", "_rank"]
     first = rows.where("_open").select(*keys, F.col(at).alias("start"), *carry)
     last = rows.where(~F.col("_open")).select(*keys, F.col(at).alias("stop"), *[F.col(c).alias(f"{c}_stop") for c in carry])
@@ -60,11 +61,13 @@ def bracket_balance(steps: DataFrame, by: list[str], at: str, opens: Column, clo
 def outside_intervals(rows: DataFrame, intervals: DataFrame, by: list[str], at: str, block: int = 1 << 16) -> DataFrame:
     """The rows whose place is in no interval start <= at < stop of their list; intervals may overlap and hold one another.
 
-    Starts and stops are laid among the rows, and a running sum tells how many intervals are open.
+    Starts and stops are laid among the rows, and a running sum tells how many intervals are open. The rows are written once, as
+    sums and rows both read them.
     """
     edge = lambda place, step: intervals.where("start < stop").select(*by, F.col(place).alias(at), F.lit(step).alias("_step"), F.lit(None).alias("_row"))
     kept = rows.select(*by, at, F.lit(0).alias("_step"), F.struct("*").alias("_row"))
     both = kept.unionByName(edge("start", 1)).unionByName(edge("stop", -1)).withColumn("_late", F.col("_row").isNotNull())
+    both = stored(both)
     covered = running_sums(both, by, at, {"_open": F.col("_step")}, block, then=("_late",))
     return covered.where("_late and _open = 0").select("_row.*")
 
