@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Published constants of a loss law in parameters and tokens (fixed values): E + A / N**a + B / D**b.
@@ -69,12 +69,28 @@ def held_out_error(points: DataFrame, fits: DataFrame, by: list[str]) -> DataFra
     return rows.groupBy(*by).agg(F.sqrt(F.avg("_square")).alias("held_out_rmse"), F.count("*").alias("n"))
 
 
-def best_within_budget(grid: DataFrame, budgets: DataFrame, law: dict = PUBLISHED) -> DataFrame:
-    """For each budget (flops) the grid point with 6 N D within it and the least projected loss."""
-    cost = grid.withColumn("cost", 6e18 * F.col("N_params_B") * F.col("D_tokens_B")).withColumn("loss", project(F.col("N_params_B"), F.col("D_tokens_B"), law))
-    fits = budgets.join(cost, F.col("cost") <= F.col("flops"))
-    best = F.min_by(F.struct("N_params_B", "D_tokens_B", "cost", "loss"), F.struct("loss", "cost"))
-    return fits.groupBy("flops").agg(best.alias("x")).select("flops", "x.*")
+def best_within_budget(grid: DataFrame, budgets: DataFrame, law: dict = PUBLISHED, fine: int = 64) -> DataFrame:
+    """For each budget (flops) the grid point with 6 N D within it and the least projected loss, of equal ones the cheaper.
+
+    Costs fall into steps, ``fine`` for each doubling. A step's best point is one
+    row, and so is the best up to a step: some ten thousand rows however large the
+    grid, as costs are doubles. A budget takes the best of the steps below its own by one
+    equi-join, and of its own step those points that it can pay by another.
+    """
+    step = lambda c: F.floor(F.log2(c) * fine).cast("int")
+    cost = 6e18 * F.col("N_params_B") * F.col("D_tokens_B")
+    points = grid.withColumn("cost", cost).where("cost > 0").withColumn("loss", project(F.col("N_params_B"), F.col("D_tokens_B"), law))
+    points = points.select(step(F.col("cost")).alias("_step"), F.struct("loss", "cost", "N_params_B", "D_tokens_B").alias("_x"))
+    asked = budgets.where("flops > 0").select("flops").distinct().withColumn("_step", step(F.col("flops")))
+    best = points.groupBy("_step").agg(F.min("_x").alias("_x"))
+    steps = best.unionByName(asked.select("_step").distinct().withColumn("_x", F.lit(None)))  # a budget's step may hold no point
+    steps = steps.groupBy("_step").agg(F.min("_x").alias("_x"))
+    below = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)  # a row for each step
+    steps = steps.select("_step", F.min("_x").over(below).alias("_x"))
+    lower = asked.join(steps, "_step").select("flops", "_x")
+    equal = asked.join(points, "_step").where(F.col("_x.cost") <= F.col("flops")).groupBy("flops").agg(F.min("_x").alias("_x"))
+    found = lower.unionByName(equal).where("_x is not null").groupBy("flops").agg(F.min("_x").alias("_x"))
+    return found.select("flops", "_x.N_params_B", "_x.D_tokens_B", "_x.cost", "_x.loss")
 
 
 def attribution(points: DataFrame, by: list[str], law: dict = PUBLISHED) -> DataFrame:

@@ -18,6 +18,8 @@ ORACLES: dict = {}
 
 def query(sql: str | None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
@@ -86,7 +88,7 @@ def join_semi(spark, d):
     return table(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)")
 def join_anti(spark, d):
     sold = table(spark, d, "lineitem").where("l_quantity > 48").select("l_partkey")
     return table(spark, d, "part").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
@@ -166,7 +168,7 @@ def set_intersect(spark, d):
 
 
 @query("SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48 EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_tax > 0.07")
-def set_except_all(spark, d):
+def set_except_all_lines(spark, d):
     rows = table(spark, d, "lineitem")
     return rows.where("l_quantity > 48").select(F.col("l_partkey").alias("k")).exceptAll(rows.where("l_discount > 0.09D AND l_tax > 0.07D").select("l_partkey"))
 

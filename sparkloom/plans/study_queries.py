@@ -15,6 +15,8 @@ ORACLES: dict = {}
 
 def query(sql: str | None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
@@ -28,18 +30,28 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({names})"
 
 
-#: benchmark group, subtask, score, chance, items
-SCORES = [("a", "x", 0.25, 0.25, 198), ("a", "y", 0.31, 0.25, 546), ("a", "z", 0.2, 0.25, 448), ("b", "x", 0.55, 0.5, 250), ("b", "y", 0.4, 0.2, 256), ("b", "z", None, 0.3, 250)]
+#: Subtasks are line numbers, an item is a line, a hit one with a discount of 5 % or more; chance by the number of choices.
+_SCORES = """(SELECT l_returnflag AS g, l_linenumber AS sub, avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END) AS score, 1.0 / (l_linenumber % 4 + 2) AS chance, count(*) AS items
+    FROM lineitem GROUP BY ALL)"""
 
 
-@query(f"SELECT g, round(avg(greatest((score - chance) / (1 - chance) * 100, CASE WHEN score IS NOT NULL THEN 0.0 END)), 9) AS macro FROM {values(SCORES, 'g, sub, score, chance, items')} WHERE score IS NOT NULL GROUP BY g")
+def subtask_scores(spark, d):
+    """g, sub, score, chance, items."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_linenumber").alias("sub"))
+    rows = rows.agg(F.avg(F.when(F.col("l_discount") >= 0.05, 1.0).otherwise(0.0)).alias("score"), F.count("*").alias("items"))
+    chances = rows.select("sub").distinct().select("sub", (F.lit(1.0) / (F.col("sub") % 4 + 2)).alias("chance"))
+    return rows.join(chances, "sub")
+
+
+@query(f"SELECT g, round(avg(greatest((score - chance) / (1 - chance) * 100, 0.0)), 9) AS macro FROM {_SCORES} GROUP BY g")
 def chance_corrected_scores(spark, d):
-    return study.macro_mean(spark.createDataFrame(SCORES, "g string, sub string, score double, chance double, items int"), ["g"], "score", "chance").withColumn("macro", F.round("macro", 9))
+    return study.macro_mean(subtask_scores(spark, d), ["g"], "score", "chance").withColumn("macro", F.round("macro", 9))
 
 
-@query(f"SELECT g, round(sum(score * items) / sum(CASE WHEN score IS NOT NULL THEN items END), 9) AS pooled FROM {values(SCORES, 'g, sub, score, chance, items')} GROUP BY g")
+@query("SELECT l_returnflag AS g, round(avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END), 9) AS pooled FROM lineitem GROUP BY 1")
 def item_weighted_scores(spark, d):
-    return study.item_weighted_mean(spark.createDataFrame(SCORES, "g string, sub string, score double, chance double, items int"), ["g"], "score", "items").withColumn("pooled", F.round("pooled", 9))
+    """Pooled over the subtasks' scores, which is the share of hits among all items."""
+    return study.item_weighted_mean(subtask_scores(spark, d), ["g"], "score", "items").withColumn("pooled", F.round("pooled", 9))
 
 
 @query("SELECT p_partkey, round((p_size + p_retailprice + length(p_name)) / 3, 6) AS mean FROM part")
@@ -48,13 +60,19 @@ def unweighted_row_mean(spark, d):
     return rows.select("p_partkey", F.round(study.row_mean("a", "b", "c"), 6).alias("mean"))
 
 
-MODELS = [("one", 7.0, 1000.0, 4.2e22, 32, 4096), ("two", 7.0, 1000.0, 9.9e22, 33, 4096), ("three", 1.5, 0.0, None, 12, 768), ("four", None, 20.0, 1e20, 0, 100)]
-
-
-@query(f"SELECT name, CASE WHEN flops IS NULL OR n IS NULL OR d = 0 THEN 'unknown' WHEN abs(flops / (6e18 * n * d) - 1) <= 0.05 THEN 'consistent' ELSE 'implausible' END AS flops_flag, CASE WHEN heads = 0 THEN NULL ELSE model % heads = 0 END AS heads_divide FROM {values(MODELS, 'name, n, d, flops, heads, model')}")
+@query(
+    """SELECT p_partkey, CASE WHEN f IS NULL OR t = 0 THEN 'unknown' WHEN abs(f / (6e18 * n * t) - 1) <= 0.05 THEN 'consistent' ELSE 'implausible' END AS flops_flag,
+    CASE WHEN heads = 0 THEN NULL ELSE p_size * 64 % heads = 0 END AS heads_divide
+    FROM (SELECT p_partkey, p_size, CAST(p_size AS DOUBLE) AS n, CASE WHEN p_partkey % 10 = 0 THEN 0.0 ELSE p_retailprice END AS t, p_partkey % 13 AS heads,
+          CASE WHEN p_partkey % 9 > 0 THEN 6e18 * p_size * p_retailprice * (1 + (p_partkey % 17) / 100.0) END AS f FROM part)"""
+)
 def compute_estimate_flags(spark, d):
-    m = spark.createDataFrame(MODELS, "name string, N_params_B double, D_tokens_B double, FLOPs double, n_heads int, d_model int")
-    return study.head_flags(study.compute_flags(m)).select("name", "flops_flag", "heads_divide")
+    """Parts as models: stated compute is up to 16 % off, missing, or there are no tokens."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("double")
+    stated = F.when(k % 9 > 0, 6e18 * n * F.col("p_retailprice") * (1 + (k % 17) / 100.0))
+    tokens = F.when(k % 10 == 0, 0.0).otherwise(F.col("p_retailprice"))
+    m = table(spark, d, "part").select("p_partkey", n.alias("N_params_B"), tokens.alias("D_tokens_B"), stated.alias("FLOPs"), (k % 13).alias("n_heads"), (F.col("p_size") * 64).alias("d_model"))
+    return study.head_flags(study.compute_flags(m)).select("p_partkey", "flops_flag", "heads_divide")
 
 
 @query("SELECT item, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS item FROM part) GROUP BY item")
@@ -78,14 +96,20 @@ def domain_mapping(spark, d):
     return study.map_domains(counts, F.broadcast(m), "lang").select("lang", "quality_domain", "mapping_type", "n")
 
 
-_LONG = f"(SELECT i, k, name, (i * (k + 3)) % 17 + 1 AS w, 2 + ((i * (k % 10 + 1)) % 11) / 10.0 AS loss, lossy FROM range(1, 64) r(i) CROSS JOIN {values([(k, n, n in LOSS_DOMAINS) for k, n in enumerate(DOMAINS)], 'k, name, lossy')})".replace("True", "true").replace("False", "false")
+_NAMES = f"{values([(k, n, n in LOSS_DOMAINS) for k, n in enumerate(DOMAINS)], 'k, name, lossy')}".replace("True", "true").replace("False", "false")
 
 
-@query(f"WITH l AS {_LONG}, s AS (SELECT i, sum(w) AS total FROM l GROUP BY i) SELECT name AS domain, round(corr(w / total, loss), 6) AS corr, count(*) AS n FROM l JOIN s USING (i) WHERE lossy GROUP BY name")
+@query(
+    f"""WITH l AS (SELECT l_orderkey % 64 AS i, l_partkey % 17 AS k, sum(l_quantity) AS w, avg(l_extendedprice) / 10000 AS loss FROM lineitem GROUP BY ALL),
+    s AS (SELECT i, sum(w) AS total FROM l GROUP BY i), c AS (SELECT i, k, name, lossy FROM s CROSS JOIN {_NAMES})
+    SELECT name AS domain, round(corr(coalesce(w, 0) / total, loss), 6) AS corr, count(*) AS n FROM c JOIN s USING (i) LEFT JOIN l USING (i, k) WHERE lossy AND loss IS NOT NULL GROUP BY name"""
+)
 def own_domain_correlation(spark, d):
-    i = F.col("id")
-    mixture = spark.range(1, 64).select(i.cast("int").alias("index"), *[((i * (k + 3)) % 17 + 1).cast("double").alias(f"train_the_pile_{n}") for k, n in enumerate(DOMAINS)])
-    losses = spark.range(1, 64).select(i.cast("int").alias("index"), *[(2 + ((i * (k % 10 + 1)) % 11) / 10.0).alias(f"metric/the_pile_{n}_val_loss") for k, n in enumerate(DOMAINS) if n in LOSS_DOMAINS])
+    """Orders dealt to 64 mixtures: a domain's weight is the quantity of its parts, its loss their mean price."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 64).cast("int").alias("index"), (F.col("l_partkey") % 17).cast("int").alias("k"), "l_quantity", "l_extendedprice")
+    wide = rows.groupBy("index").pivot("k", list(range(17))).agg(F.sum("l_quantity").alias("w"), (F.avg("l_extendedprice") / 10000).alias("loss"))
+    mixture = wide.select("index", *[F.col(f"{k}_w").alias(f"train_the_pile_{n}") for k, n in enumerate(DOMAINS)])
+    losses = wide.select("index", *[F.col(f"{k}_loss").alias(f"metric/the_pile_{n}_val_loss") for k, n in enumerate(DOMAINS) if n in LOSS_DOMAINS])
     return study.own_domain_correlation(study.mixture_with_losses(mixture, losses)).withColumn("corr", F.round("corr", 6))
 
 
@@ -106,10 +130,10 @@ def provenance_counts(spark, d):
     return study.provenance_grades(table(spark, d, "labels").select(F.when(F.col("quality") == 1, "High").otherwise("Medium").alias("Loss_Comparability")))
 
 
-@query("SELECT n, d, round(1.69 + 406.4 / power(n * 1e9, 0.34) + 410.7 / power(d * 1e9, 0.28), 9) AS loss FROM (VALUES (0.07), (1.4), (70.0)) a(n) CROSS JOIN (VALUES (2.0), (300.0), (1400.0)) b(d)")
+@query("SELECT p_partkey, round(1.69 + 406.4 / power(p_size / 10.0 * 1e9, 0.34) + 410.7 / power(p_retailprice * 1e9, 0.28), 9) AS loss FROM part")
 def law_projection(spark, d):
-    n, t = spark.createDataFrame([(0.07,), (1.4,), (70.0,)], "n double"), spark.createDataFrame([(2.0,), (300.0,), (1400.0,)], "d double")
-    return n.crossJoin(t).select("n", "d", F.round(laws.project(F.col("n"), F.col("d")), 9).alias("loss"))
+    """Parts as models of a tenth of their size in billions, trained on their price in billions."""
+    return table(spark, d, "part").select("p_partkey", F.round(laws.project(F.col("p_size") / 10.0, F.col("p_retailprice")), 9).alias("loss"))
 
 
 @query("SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)), 6) AS intercept, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -117,13 +141,27 @@ def log_log_slopes(spark, d):
     return laws.log_log(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").withColumn("slope", F.round("slope", 6)).withColumn("intercept", F.round("intercept", 6))
 
 
-@query("SELECT CAST(1.7 AS DOUBLE) AS e, CAST(0.35 AS DOUBLE) AS alpha, CAST(0.3 AS DOUBLE) AS beta, true AS exact")
+_GRID = """c AS (
+  SELECT g, alpha, beta, power(n, -alpha) AS u, power(d, -beta) AS v, y FROM p CROSS JOIN (VALUES (0.25), (0.5), (0.75)) a(alpha) CROSS JOIN (VALUES (0.25), (0.5)) b(beta)
+), s AS (
+  SELECT g, alpha, beta, count(*) AS k, avg(u) AS mu, avg(v) AS mv, avg(y) AS my, var_pop(u) AS uu, var_pop(v) AS vv, var_pop(y) AS yy,
+         covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy
+  FROM c GROUP BY ALL
+), f AS (
+  SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS a, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b FROM s
+)"""
+
+
+@query(
+    f"""WITH p AS (SELECT l_linestatus AS g, l_quantity AS n, l_linenumber AS d, l_extendedprice / 1000 AS y FROM lineitem), {_GRID}
+    SELECT g, round(my - a * mu - b * mv, 4) AS e, alpha, beta, round(sqrt(greatest(yy - a * uy - b * vy, 0)), 4) AS rmse
+    FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY yy - a * uy - b * vy, alpha, beta) = 1"""
+)
 def law_fit(spark, d):
-    """A grid of exponents recovers the law that made the points."""
-    points = spark.range(1, 9).select(F.pow(F.lit(2.0), F.col("id")).alias("N_params_B")).crossJoin(spark.range(1, 9).select(F.pow(F.lit(3.0), F.col("id")).alias("D_tokens_B")))
-    points = points.withColumn("val_loss", 1.7 + 2.5 * F.pow("N_params_B", F.lit(-0.35)) + 4.0 * F.pow("D_tokens_B", F.lit(-0.3)))
-    fit = laws.fit_law(points, [0.25, 0.3, 0.35, 0.4], [0.2, 0.25, 0.3, 0.35])
-    return fit.select(F.round("E", 4).alias("e"), "alpha", "beta", (F.col("rmse") < 1e-5).alias("exact"))
+    """The best law of each group over a grid of exponents."""
+    points = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("g"), F.col("l_quantity").alias("N_params_B"), F.col("l_linenumber").cast("double").alias("D_tokens_B"), (F.col("l_extendedprice") / 1000).alias("val_loss"))
+    fit = laws.fit_law(points, [0.25, 0.5, 0.75], [0.25, 0.5], ["g"])
+    return fit.select("g", F.round("E", 4).alias("e"), "alpha", "beta", F.round("rmse", 4).alias("rmse"))
 
 
 @query("""
@@ -158,20 +196,30 @@ def law_prediction(spark, d):
     return laws.held_out_error(points.where("held"), fits, ["g"]).withColumn("held_out_rmse", F.round("held_out_rmse", 4))
 
 
-_BUDGET = [1e20, 1e21, 1e22]
-
-
 @query(
-    "WITH g AS (SELECT n * 0.25 AS n, t * 10.0 AS t FROM range(1, 41) a(n) CROSS JOIN range(1, 41) b(t)), c AS (SELECT flops, n, t, 6e18 * n * t AS cost, 1.69 + 406.4 / power(n * 1e9, 0.34) + 410.7 / power(t * 1e9, 0.28) AS loss FROM g JOIN (VALUES (1e20), (1e21), (1e22)) f(flops) ON 6e18 * n * t <= flops), r AS (SELECT *, row_number() OVER (PARTITION BY flops ORDER BY loss, cost) AS k FROM c) SELECT flops, n, t FROM r WHERE k = 1"
+    """WITH g AS (SELECT n * 0.25 AS n, t * 0.1 AS t FROM (SELECT DISTINCT CAST(p_size AS DOUBLE) AS n FROM part) CROSS JOIN (SELECT DISTINCT floor(p_retailprice / 10) AS t FROM part WHERE p_retailprice >= 10)),
+    c AS (SELECT n, t, 6e18 * n * t AS cost, 1.69 + 406.4 / power(n * 1e9, 0.34) + 410.7 / power(t * 1e9, 0.28) AS loss FROM g),
+    b AS (SELECT DISTINCT o_totalprice * 1e15 AS flops FROM orders),
+    w AS (SELECT *, min(loss) OVER (ORDER BY cost ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM c),
+    f AS (SELECT n, t, cost, loss FROM w WHERE loss = best QUALIFY row_number() OVER (PARTITION BY loss ORDER BY cost) = 1)
+    SELECT flops, n, t FROM b ASOF JOIN f ON b.flops >= f.cost"""
 )
 def budget_allocation(spark, d):
-    g = spark.range(1, 41).select((F.col("id") * 0.25).alias("N_params_B")).crossJoin(spark.range(1, 41).select((F.col("id") * 10.0).alias("D_tokens_B")))
-    return laws.best_within_budget(g, spark.createDataFrame([(b,) for b in _BUDGET], "flops double")).select("flops", F.col("N_params_B").alias("n"), F.col("D_tokens_B").alias("t"))
+    """For each order's price as a budget the best of the sizes and tokens that parts give."""
+    part = table(spark, d, "part")
+    sizes = part.select((F.col("p_size").cast("double") * 0.25).alias("N_params_B")).distinct()
+    tokens = part.where("p_retailprice >= 10").select((F.floor(F.col("p_retailprice") / 10) * 0.1).alias("D_tokens_B")).distinct()
+    budgets = table(spark, d, "orders").select((F.col("o_totalprice") * 1e15).alias("flops")).distinct()
+    return laws.best_within_budget(sizes.crossJoin(tokens), budgets).select("flops", F.col("N_params_B").alias("n"), F.col("D_tokens_B").alias("t"))
 
 
-@query("SELECT g, round(avg(a / (a + b)), 9) AS size_share, count(*) AS n FROM (SELECT i % 3 AS g, 406.4 / power(i * 1e9, 0.34) AS a, 410.7 / power(i * 2e10, 0.28) AS b FROM range(1, 31) r(i)) GROUP BY g")
+@query(
+    """SELECT p_brand AS g, round(avg(a / (a + b)), 9) AS size_share, count(*) AS n
+    FROM (SELECT p_brand, 406.4 / power(p_size * 1e9, 0.34) AS a, 410.7 / power(p_retailprice * 1e9, 0.28) AS b FROM part) GROUP BY 1"""
+)
 def loss_attribution(spark, d):
-    rows = spark.range(1, 31).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("N_params_B"), (F.col("id") * 20.0).alias("D_tokens_B"))
+    """By brand, the share of the reducible loss that is due to size."""
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_size").cast("double").alias("N_params_B"), F.col("p_retailprice").alias("D_tokens_B"))
     return laws.attribution(rows, ["g"]).select("g", F.round("size_share", 9).alias("size_share"), "n")
 
 
