@@ -20,7 +20,7 @@ from sparkloom.llm.common import _LOWER, column_bytes, fold, give_back, lean, mi
 
 @dataclass(frozen=True)
 class Toxicity:
-    """``positives`` and ``negatives`` bound the labelled rows that training reads."""
+    """``positives`` and ``negatives`` bound the labelled rows that training reads, ``longest`` the bytes of each of them."""
 
     hidden: int = 8
     word_size: int = 8
@@ -32,6 +32,7 @@ class Toxicity:
     step: int = 56
     positives: int = 1200
     negatives: int = 1600
+    longest: int = 1 << 17
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
@@ -271,11 +272,17 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Net:
-    """Train on at most ``positives`` + ``negatives`` labelled rows that aren't held out, chosen by a hash of their id."""
+    """Train on at most ``positives`` + ``negatives`` labelled rows that aren't held out, chosen by a hash of their id.
+
+    An id that stands in several rows gives one of them, and texts of more than ``longest`` bytes give none, so what the driver
+    reads is bounded by the three limits, whatever the tables hold. Scoring reads all texts whole.
+    """
     named = fold(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     pick = lambda toxic, n: named.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(pick(1, p.positives).union(pick(0, p.negatives)))  # bounded by the two limits
-    rows = sorted(fold(docs, "doc_id", "text").join(chosen, "doc_id").where("text is not null").select("doc_id", "toxic", "text").collect())
+    texts = fold(docs, "doc_id", "text").where(F.octet_length("text") <= p.longest).join(chosen, "doc_id")
+    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    rows = sorted(one.select("doc_id", "toxic", F.col("first.text").alias("text")).collect())
     net = train([r.text for r in rows], [r.toxic for r in rows], p)
     del rows
     give_back()

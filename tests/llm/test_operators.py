@@ -362,6 +362,20 @@ def test_toxicity_learns(spark):
     assert {r.doc_id: r.score for r in got}[900] == 0
 
 
+def test_training_reads_a_bounded_sample(spark, monkeypatch):
+    """Ids that repeat, with other texts and very long ones, give one row each at most, in any order of the rows."""
+    read = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, p: read.append((texts, labels)) or toxicity.Net(p))
+    rows = [(k, f"text {k}") for k in range(40)] + [(k, f"another text {k}") for k in range(10)] * 50 + [(5, "x" * 5000), (39, None)] + [(41, "y" * 5000)]
+    labels = frame(spark, [(k, k % 2) for k in range(50)] * 2, "doc_id long, toxic int")
+    p = toxicity.Toxicity(positives=8, negatives=9, longest=1000)
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        toxicity.fit(frame(spark, rows).repartition(3 + seed), labels, p)
+    assert read[0] == read[1] and 0 < len(read[0][0]) <= 17 and max(map(len, read[0][0])) <= 1000
+    assert len(set(read[0][0])) == len(read[0][0])
+
+
 def test_toxicity_gradient():
     p = toxicity.Toxicity(hidden=3, word_size=2, char_size=2, log_words=4, log_grams=4)
     net = toxicity.Net(p)
