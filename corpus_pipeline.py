@@ -32,14 +32,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates (five words, similarity 0.8), once."""
+    """The document with the smallest id of each component of near duplicates (five words, similarity 0.8), once.
+
+    Of rows equal in id and text the one with the least lang, source and n_chars stays. Rows without an id are no copies of
+    others, and of equal ones among them one stays; texts without words are linked with nothing. Rows without an id are
+    spread by their text. Long texts are shingled whole; an empty table gives no rows.
+    """
     docs = docs.select(*COLUMNS)
-    gone = Scratch(spark).table(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = Scratch(spark).table(near_duplicates(docs).where("not kept").select(F.col("doc_id").cast("string").alias("_gone")).distinct())
+    kept = docs.join(gone, row_key() == F.col("_gone"), "left_anti")
+    first = kept.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("first"))
+    return first.select("doc_id", "text", "first.lang", "first.source", "first.n_chars")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that a document with a smaller id holds too."""
+    """All documents, without the passages that a document with a smaller id holds too.
+
+    Null texts stay null, and an empty text empty; rows without an id take no part and keep their text. Rows that repeat an id
+    aren't each other's smaller document. Texts of any length are read in pieces; an empty table gives no rows.
+    """
     docs = docs.select(*COLUMNS)
     kept = without_repeats(docs.withColumn("null_text", F.col("text").isNull()), carry=("lang", "source", "n_chars", "null_text"))
     text = F.when(~F.col("null_text"), F.col("kept_text"))
@@ -47,12 +58,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; rows without an id are judged by their own text, null and empty texts stay."""
     return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, pieces, n_pieces, lossless."""
+    """doc_id, pieces, n_pieces, lossless of every row; null and empty texts have no pieces, long texts are cut whole."""
     return segment(docs, load_pieces())
 
 
