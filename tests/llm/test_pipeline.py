@@ -57,6 +57,15 @@ def test_rows_without_id_are_judged_by_their_own_text(spark, folder, monkeypatch
     assert sorted(r.text or "" for r in c.decontaminate(docs, items).collect()) == ["", "a blorgen one", "fine too", "fine words stand here"]
 
 
+def test_one_of_equal_rows_stays_whatever_their_order(spark, folder):
+    rows = [(1, "a b c d e f", lang, source, n) for lang, source, n in [("fr", "b", 1), ("en", "z", 3), ("en", "c", None), (None, "a", 2)]] * 3
+    rows += [(None, "no id here", "en", "s", 1)] * 4 + [(None, "no id there", "en", "s", 1), (2, None, "en", "s", 0), (3, "a b c d e f", "de", "s", 1)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = c.drop_near_copies(spark, spark.createDataFrame(rows, KIND).repartition(1 + seed), folder).collect()
+        assert sorted((r.doc_id or 0, r.text or "", r.lang or "", r.source) for r in got) == [(0, "no id here", "en", "s"), (0, "no id there", "en", "s"), (1, "a b c d e f", "", "a"), (2, "", "en", "s")]
+
+
 def test_cut_repeats_keeps_each_row_of_an_id(spark, folder):
     passage = "a passage of more than fifty bytes that two documents hold in full"
     rows = [(1, passage, "en", "a", 66), (2, f"left {passage}", "en", "b", 71), (2, "zz another text", "fr", "c", 15), (2, None, "de", "d", 4), (None, passage, "it", "e", 66), (None, None, None, None, None)]
