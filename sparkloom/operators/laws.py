@@ -54,6 +54,76 @@ def fit_law(points: DataFrame, exponents_n: list[float], exponents_d: list[float
     return out.select(*by, "f.*")
 
 
+#: Parameters of a law in the order of the refit's vectors; sizes and exponents are fitted as logarithms, so they stay positive.
+LAW = ["E", "A", "B", "alpha", "beta"]
+
+
+def refit_law(points: DataFrame, start: DataFrame, by: list[str], steps: int = 30, robust: float = 1.345, tolerance: float = 1e-7) -> DataFrame:
+    """E, A, B, alpha, beta, rmse and steps by group: E + A N**-alpha + B D**-beta refitted from ``start`` (``fit_law``) off the grid.
+
+    Levenberg and Marquardt's method with Huber's loss. Each step is one aggregation
+    of the products of the Jacobian, 21 sums a group, over all points; the driver holds and
+    solves a 5 x 5 system for each group of ``start`` and no points. Residuals beyond ``robust``
+    times the usual error (of the start first, then by the median of the residuals) count by their size,
+    not its square, so that a few wild losses don't decide. Groups without a start are left out;
+    ``steps`` bounds each of the two rounds, and a step that doesn't lessen the loss is undone.
+    """
+    import numpy as np
+
+    spark = points.sparkSession
+    known = points.where("N_params_B > 0 and D_tokens_B > 0 and val_loss is not null").select(*by, "N_params_B", "D_tokens_B", "val_loss")
+    groups = {tuple(r[k] for k in by): r for r in start.collect()}  # a row for each group
+    state = {g: np.array([r.E, np.log(max(abs(r.A), 1e-9)), np.log(max(abs(r.B), 1e-9)), r.alpha, r.beta]) for g, r in groups.items()}
+    scale = {g: max(robust * r.rmse, 1e-12) for g, r in groups.items()}
+    names = ["_e", "_a", "_b", "_alpha", "_beta"]
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in start.select(*by).schema.fields] + [f"{n} double" for n in [*names, "_scale"]])
+
+    def sums(at: dict) -> dict:
+        rows = [(*g, *map(float, w), scale[g]) for g, w in at.items()]
+        both = known.join(F.broadcast(spark.createDataFrame(rows, kind)), by) if by else known.crossJoin(F.broadcast(spark.createDataFrame(rows, kind)))
+        u = F.exp(F.col("_a") - F.col("_alpha") * F.ln("N_params_B"))
+        v = F.exp(F.col("_b") - F.col("_beta") * F.ln("D_tokens_B"))
+        rest = F.col("val_loss") - F.col("_e") - u - v
+        weight = F.least(F.lit(1.0), F.col("_scale") / F.greatest(F.abs(rest), F.lit(1e-300)))
+        size = F.abs(rest)
+        loss = F.when(size <= F.col("_scale"), rest * rest / 2).otherwise(F.col("_scale") * (size - F.col("_scale") / 2))
+        slopes = [F.lit(1.0), u, v, -u * F.ln("N_params_B"), -v * F.ln("D_tokens_B")]
+        rows = both.select(*by, *[j.alias(f"_j{k}") for k, j in enumerate(slopes)], rest.alias("_r"), weight.alias("_w"), loss.alias("_l"))
+        products = [F.sum(F.col("_w") * F.col(f"_j{i}") * F.col(f"_j{k}")) for i in range(5) for k in range(i + 1)]
+        right = [F.sum(F.col("_w") * F.col(f"_j{i}") * F.col("_r")) for i in range(5)]
+        out = rows.groupBy(*by).agg(F.array(*products).alias("_m"), F.array(*right).alias("_right"), F.sum("_l").alias("_loss"), F.sum(F.col("_r") * F.col("_r")).alias("_sse"), F.count("*").alias("_n"), F.percentile_approx(F.abs("_r"), 0.5, 1000).alias("_middle"))
+        return {tuple(r[k] for k in by): r for r in out.collect()}
+
+    def solved(r, damp: float):
+        m = np.zeros((5, 5))
+        m[np.tril_indices(5)] = r["_m"]
+        m = m + np.tril(m, -1).T
+        return np.linalg.solve(m + damp * np.diag(np.diag(m) + 1e-12), np.array(r["_right"]))
+
+    best, taken = sums(state), 0
+    state = {g: w for g, w in state.items() if g in best}
+    for again in range(2):
+        if again:  # the spread of most residuals is known now
+            scale |= {g: max(robust * 1.4826 * r["_middle"], 1e-12) for g, r in best.items()}
+            best = sums(state)
+        damp, left, end = dict.fromkeys(state, 1e-2), set(state), taken + steps
+        while left and taken < end:
+            taken += 1
+            tried = {g: state[g] + solved(best[g], damp[g]) for g in left}
+            for g, r in sums(tried).items():
+                if np.isfinite(r["_loss"]) and r["_loss"] <= best[g]["_loss"]:
+                    if best[g]["_loss"] - r["_loss"] <= tolerance * best[g]["_loss"]:
+                        left.discard(g)
+                    state[g], best[g], damp[g] = tried[g], r, max(damp[g] / 5, 1e-12)
+                else:
+                    damp[g] *= 4
+                    if damp[g] > 1e12:
+                        left.discard(g)
+    rows = [(*g, float(w[0]), float(np.exp(w[1])), float(np.exp(w[2])), float(w[3]), float(w[4]), float((best[g]["_sse"] / best[g]["_n"]) ** 0.5), taken) for g, w in state.items()]
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in start.select(*by).schema.fields] + [f"{n} double" for n in [*LAW, "rmse"]] + ["steps int"])
+    return spark.createDataFrame(rows, kind)
+
+
 def predict(points: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
     """``points`` with the loss (``predicted``) that their group's law, a row of ``fit_law``, gives; groups without a law go."""
     law = fits.select(*by, F.struct("E", "A", "B", "alpha", "beta").alias("_law"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.study import as_of, interpolate
-from sparkloom.session import table
+from sparkloom.session import stored, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -397,3 +397,51 @@ def set_intersect_all(spark, d):
 @query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 def set_except_all(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(table(spark, d, "supplier").select("s_nationkey"))
+
+
+#: A level's sketches: distinct events and users with 2**12 cells, quantiles of value with k of 1024, the 5 top users in room for 64.
+_LEVELS = "(SELECT CAST(ts AS DATE) AS day, event_type, event_id, user_id, value FROM events)"
+
+
+@query(
+    f"""SELECT 'type' AS level, event_type AS name, count(*) AS n, count(DISTINCT event_id) AS events, count(DISTINCT user_id) AS users, true AS within_bounds FROM {_LEVELS} GROUP BY event_type
+    UNION ALL SELECT 'day', CAST(day AS VARCHAR), count(*), count(DISTINCT event_id), count(DISTINCT user_id), true FROM {_LEVELS} GROUP BY day
+    UNION ALL SELECT 'all', 'all', count(*), count(DISTINCT event_id), count(DISTINCT user_id), true FROM {_LEVELS}"""
+)
+def sketches_merged_upward(spark, d):
+    """Sketches stored by day and type, merged to days, to types and to all, each estimate held against the exact numbers.
+
+    Bounds: three standard errors of 1.04 / sqrt(4096) for distinct values (0.5 at least), twice the 0.26 % of a sketch of k = 1024 for the
+    rank of the median, and n / 64 for the counts of the most frequent users.
+    """
+    rows = table(spark, d, "events").select(F.col("ts").cast("date").cast("string").alias("day"), "event_type", "event_id", "user_id", "value")
+    kept = stored(
+        rows.groupBy("day", "event_type").agg(
+            F.expr("hll_sketch_agg(event_id, 12)").alias("events"),
+            F.expr("hll_sketch_agg(user_id, 12)").alias("users"),
+            F.expr("kll_sketch_agg_double(value, 1024)").alias("value_ranks"),
+            F.expr("approx_top_k_accumulate(user_id, 64)").alias("top"),
+        )
+    )
+    out = None
+    for level, name in (("type", F.col("event_type")), ("day", F.col("day")), ("all", F.lit("all"))):
+        merged = kept.groupBy(name.alias("name")).agg(
+            F.expr("hll_sketch_estimate(hll_union_agg(events))").alias("about_events"),
+            F.expr("hll_sketch_estimate(hll_union_agg(users))").alias("about_users"),
+            F.expr("kll_sketch_get_quantile_double(kll_merge_agg_double(value_ranks), 0.5D)").alias("middle"),
+            F.expr("approx_top_k_estimate(approx_top_k_combine(top, 64), 5)").alias("top"),
+        )
+        named = rows.withColumn("name", name).join(F.broadcast(merged.select("name", "middle")), "name")  # a row for each name of the level
+        exact = named.groupBy("name").agg(
+            F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.count_distinct("user_id").alias("users"),
+            F.count_if(F.col("value") < F.col("middle")).alias("below"), F.count_if(F.col("value") <= F.col("middle")).alias("upto"), F.count("value").alias("known"),
+        )
+        counts = rows.groupBy(name.alias("name"), "user_id").agg(F.count("*").alias("c"))
+        top = merged.select("name", F.explode("top").alias("x")).select("name", F.col("x.item").alias("user_id"), F.col("x.count").alias("about"))
+        off = top.join(counts, ["name", "user_id"]).groupBy("name").agg(F.max(F.abs(F.col("about") - F.col("c"))).alias("off"))
+        close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(0.5), 3 * 1.04 / 64 * F.col(b))
+        rank = (F.col("below") <= (0.5 + 0.0052) * F.col("known") + 1) & (F.col("upto") >= (0.5 - 0.0052) * F.col("known") - 1)
+        good = close("about_events", "events") & close("about_users", "users") & rank & (F.coalesce("off", F.lit(0)) <= F.col("n") / 64)  # no user may be frequent
+        one = merged.join(exact, "name").join(off, "name", "left").select(F.lit(level).alias("level"), "name", "n", "events", "users", good.alias("within_bounds"))
+        out = one if out is None else out.unionByName(one)
+    return out

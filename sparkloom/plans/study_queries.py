@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import cleaning, layout
-from sparkloom.operators import laws, study
+from sparkloom.operators import laws, scans, study
 from sparkloom.plans.schemas import DOMAINS, LOSS_DOMAINS
 from sparkloom.session import table
 
@@ -164,6 +164,42 @@ def law_fit(spark, d):
     return fit.select("g", F.round("E", 4).alias("e"), "alpha", "beta", F.round("rmse", 4).alias("rmse"))
 
 
+def noisy_points(spark, d):
+    """Lines with a loss that follows a law off any grid, by status; noise from the tax, and every 97th loss is wild."""
+    n, t, f = F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)
+    loss = 1.7 + f / 10 + 2.5 * F.pow(n, -0.37 - f / 20) + 4.0 * F.pow(t, -0.29 + f / 50) + (F.col("l_tax") - 0.04) / 10
+    return table(spark, d, "lineitem").select(
+        F.col("l_linestatus").alias("g"), n.alias("N_params_B"), t.alias("D_tokens_B"), F.when(F.col("l_orderkey") % 97 == 0, loss + 5).otherwise(loss).alias("val_loss")
+    )
+
+
+@query("SELECT l_linestatus AS g, 0.37 + CASE l_linestatus WHEN 'F' THEN 0.05 ELSE 0.0 END AS alpha, 0.29 - CASE l_linestatus WHEN 'F' THEN 0.02 ELSE 0.0 END AS beta, count(*) AS n FROM lineitem GROUP BY 1")
+def law_refit(spark, d):
+    """The exponents that made the losses, to a hundredth, from a grid that doesn't hold them."""
+    points = noisy_points(spark, d)
+    fits = laws.refit_law(points, laws.fit_law(points, [0.2, 0.6], [0.2, 0.6], ["g"]), ["g"])
+    counts = points.groupBy("g").agg(F.count("*").alias("n"))
+    return fits.join(counts, "g").select("g", F.round("alpha", 2).alias("alpha"), F.round("beta", 2).alias("beta"), "n")
+
+
+_PIECES = "(SELECT source, doc_id, doc_id // 200 AS chunk, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY source, doc_id // 200 ORDER BY doc_id) AS k FROM documents)"
+
+
+@query(
+    f"""WITH RECURSIVE r AS {_PIECES}, p AS (
+      SELECT source, chunk, k, doc_id, n, CAST(1 AS BIGINT) AS bin, CAST(0 AS BIGINT) AS start FROM r WHERE k = 1
+      UNION ALL
+      SELECT r.source, r.chunk, r.k, r.doc_id, r.n, CASE WHEN p.start + p.n > 0 AND p.start + p.n + r.n > 20000 THEN p.bin + 1 ELSE p.bin END,
+             CASE WHEN p.start + p.n > 0 AND p.start + p.n + r.n > 20000 THEN 0 ELSE p.start + p.n END
+      FROM p JOIN r ON r.source = p.source AND r.chunk = p.chunk AND r.k = p.k + 1
+    ) SELECT source, chunk, doc_id, bin, start FROM p"""
+)
+def greedy_packing(spark, d):
+    """Documents of a source, in the order of their ids, into bins of 20,000 characters: a table function over ordered partitions."""
+    rows = table(spark, d, "documents")
+    return scans.greedy_bins(rows, ["source"], "doc_id", F.coalesce(F.char_length("text"), F.lit(0)), 20_000, chunk=200)
+
+
 @query("""
 WITH p AS (
   SELECT l_returnflag AS g, l_quantity AS n, l_linenumber AS d, l_extendedprice / 1000 AS y, l_orderkey % 5 = 0 AS held FROM lineitem
