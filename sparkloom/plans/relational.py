@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.intervals import overlap_join
 from sparkloom.operators.study import as_of, interpolate
 from sparkloom.session import stored, table
 
@@ -140,6 +141,18 @@ def join_range(spark, d):
     return range_join(table(spark, d, "orders").select("o_totalprice"), "o_totalprice", bands, "lo", "hi", 50000.0).groupBy("band").agg(F.count("*").alias("n_orders"))
 
 
+_SPANS = "(SELECT event_id, user_id, epoch_us(ts) // 1000000 AS start, epoch_us(ts) // 1000000 + CAST(floor(value * value) AS BIGINT) AS stop FROM events WHERE event_type = 'purchase' AND floor(value * value) > 0)"
+
+
+@query(f"SELECT a.event_id, b.event_id AS other_id, greatest(a.start, b.start) AS since FROM {_SPANS} a JOIN {_SPANS} b ON a.event_id < b.event_id AND a.start < b.stop AND b.start < a.stop")
+def join_overlap(spark, d):
+    """Pairs of purchases whose spans, of a second up to hours by their value, overlap: each pair once; an empty span overlaps none."""
+    begin = F.floor(micros() / 1_000_000).cast("long")
+    spans = table(spark, d, "events").where("event_type = 'purchase'").select("event_id", begin.alias("start"), (begin + F.floor(F.col("value") * F.col("value"))).alias("stop"))
+    pairs = overlap_join(spans, spans, "start", "stop", 600.0).where("event_id < other.event_id")
+    return pairs.select("event_id", F.col("other.event_id").alias("other_id"), F.greatest("start", "other.start").alias("since"))
+
+
 @query("SELECT a.event_id, b.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts")
 def join_as_of(spark, d):
     e = table(spark, d, "events")
