@@ -601,6 +601,7 @@ def without_repeats(docs: DataFrame, p: Repeats = Repeats(), carry: tuple = ())
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows meet at their anchor\'s bucket, and the difference-cover sort is a local step on what is there: nothing of the sort itself is distributed."""
     return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
