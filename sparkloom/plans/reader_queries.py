@@ -106,11 +106,16 @@ def xz_documents(spark, d):
 def document_ranges(spark, d):
     """Three of every ten records of 33 bytes, from the sixth on, of files that hold a source's digests in the order of their ids."""
     path = folder(spark)
-    rows = table(spark, d, "documents").repartition("source").sortWithinPartitions("doc_id")
-    rows.select("source", F.md5(F.col("text").cast("binary")).alias("digest")).write.partitionBy("source").text(path)
+    folder_name = F.concat(F.lit("x"), F.hex(F.encode("source", "utf-8")))  # sources may be empty or hold any character
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-" * 32))
+    rows = table(spark, d, "documents").select(folder_name.alias("source"), "doc_id", digest.alias("digest")).repartition("source")
+    rows = rows.sortWithinPartitions("source", F.asc_nulls_last("doc_id"))  # by source first, else the writer sorts by it again, which keeps no order of ids
+    rows.select("source", "digest").write.partitionBy("source").text(path)
     got = readers.read_byte_range(spark, f"{path}/*/*.txt", 33 * 5, 33 * 3, 33 * 10)
-    source = F.url_decode(F.regexp_extract("path", "source=([^/]*)", 1))
-    return got.select(source.alias("source"), F.explode(F.split(F.rtrim(F.decode("bytes", "utf-8"), F.lit("\n")), "\n")).alias("digest"))
+    name = F.regexp_extract("path", "source=(x[0-9A-F]*)/", 1)  # none: the source is null
+    source = F.when(name != "", F.decode(F.unhex(F.substr(name, F.lit(2))), "utf-8"))
+    digests = F.explode(F.split(F.rtrim(F.decode("bytes", "utf-8"), F.lit("\n")), "\n"))
+    return got.select(source.alias("source"), digests.alias("digest")).withColumn("digest", F.nullif(F.col("digest"), F.lit("-" * 32)))
 
 
 @query("SELECT 'sha256:' || md5(n_name) AS oid, CAST(n_nationkey AS BIGINT) AS size FROM nation")
