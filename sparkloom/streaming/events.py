@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,20 +39,24 @@ def visits(events: DataFrame, gap_ms: int, kept: int = 5, delay: str = "10 minut
     A visit is put out once the watermark has passed its end, so each once and in
     order, whatever order its events came in and however often the query stopped.
     """
-    rows = events.select("user_id", "ts", "event_type", F.unix_micros("ts").alias("us")).withWatermark("ts", delay)
+    rows = events.select("user_id", "ts", (F.col("event_type") == "purchase").alias("buy"), F.unix_micros("ts").alias("us")).withWatermark("ts", delay)
     kind = "user_id long, visit long, start long, n long, buys long, longest_before long"
-    return rows.groupBy("user_id").transformWithStateInPandas(Visits(gap_ms, kept), kind, "append", "EventTime")
+    return rows.groupBy("user_id").transformWithState(Visits(gap_ms, kept), kind, "append", "EventTime")
 
 
 class Visits(StatefulProcessor):
-    """Open visits by their start in a map, each with a timer at its end; the number of closed ones in a value, the sizes of the last few in a list."""
+    """Open visits and the time of the timer in one value, the number of closed ones in another, the sizes of the last few in a list.
 
-    def __init__(self, gap_ms: int, kept: int):
-        self.gap_ms, self.kept = gap_ms, kept
+    Each call to the state costs as much as some hundred rows, so a user's open visits are read and written as one, and a
+    user has one timer, at the first end, whatever number of visits is open.
+    """
+
+    def __init__(self, gap_ms: int, kept: int, buffer: int = 10_000):
+        self.gap_ms, self.kept, self.buffer = gap_ms, kept, buffer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "last long, n long, buys long")
+        self.open = handle.getValueState("open", "timer long, visits array<struct<start: long, last: long, n: long, buys: long>>")
         self.closed = handle.getValueState("closed", "n long")
         self.sizes = handle.getListState("sizes", "n long")
 
@@ -60,41 +64,53 @@ class Visits(StatefulProcessor):
         """Millisecond from which no event can belong to a visit any more."""
         return -(-last // 1000) + self.gap_ms
 
+    def merged(self, visits: list[tuple]) -> list[tuple]:
+        """(start, last, n, buys) by start, those less than the gap apart as one."""
+        out, gap = [], self.gap_ms * 1000
+        for start, last, n, buys in sorted(visits):
+            if out and start - out[-1][1] < gap:
+                a, b, m, k = out[-1]
+                out[-1] = a, max(b, last), m + n, k + buys
+            else:
+                out.append((start, last, n, buys))
+        return out
+
+    def keep(self, timer: int | None, visits: list[tuple]) -> None:
+        """The state of open ``visits``, with a timer at the first end, which fires when the watermark is there; ``timer`` is the one set so far."""
+        wanted = min((self.end(v[1]) for v in visits), default=None)
+        if timer is not None and timer != wanted:
+            self.handle.deleteTimer(timer)
+        if wanted is not None and timer != wanted:
+            self.handle.registerTimer(wanted)
+        if visits:
+            self.open.update((wanted, visits))
+        else:
+            self.open.clear()
+
     def handleInputRows(self, key, rows, timerValues):
-        gap, open_ = self.gap_ms * 1000, {k[0]: tuple(v) for k, v in self.open.iterator()}
-        before = dict(open_)
-        for b in rows:
-            for at, buy in zip(b["us"].tolist(), (b["event_type"] == "purchase").tolist(), strict=True):
-                near = [k for k, v in open_.items() if k - gap < at < v[0] + gap]  # few are open at a time
-                parts = [(k, *open_.pop(k)) for k in near] + [(at, at, 1, int(buy))]
-                open_[min(p[0] for p in parts)] = max(p[1] for p in parts), sum(p[2] for p in parts), sum(p[3] for p in parts)
-        for k, v in before.items():
-            if open_.get(k) != v:
-                self.open.removeKey((k,))
-                self.handle.deleteTimer(self.end(v[0]))
-        for k, v in open_.items():
-            if before.get(k) != v:
-                self.open.updateValue((k,), v)
-        for v in open_.values():
-            self.handle.registerTimer(self.end(v[0]))
+        timer, visits = self.open.get() or (None, [])
+        visits = [tuple(v) for v in visits]
+        for r in rows:
+            visits.append((r.us, r.us, 1, int(bool(r.buy))))
+            if len(visits) >= 2 * self.buffer:
+                visits = self.merged(visits)
+                self.buffer = max(self.buffer, len(visits))  # so that a list that stays long isn't sorted for each row
+        self.keep(timer, self.merged(visits))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
-
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        ended = sorted((k[0], *v) for k, v in self.open.iterator() if self.end(v[0]) <= at)
-        closed, out = (self.closed.get()[0] if self.closed.exists() else 0), []
-        sizes = [x[0] for x in self.sizes.get()]
-        for start, _, n, buys in ended:
-            closed += 1
-            out.append((key[0], closed, start, n, buys, max(sizes, default=None)))
-            sizes = [*sizes, n][-self.kept :]
-            self.open.removeKey((start,))
+        at = timerValues.getCurrentWatermarkInMs()
+        visits = [tuple(v) for v in (self.open.get() or (None, []))[1]]
+        ended = [v for v in visits if self.end(v[1]) <= at]
+        self.keep(None, [v for v in visits if self.end(v[1]) > at])  # those end later: the timer that fired is taken away after this call, so none may be set at its time
         if ended:
-            self.closed.update((closed,))
+            done = (self.closed.get() or (0,))[0]
+            sizes = [x[0] for x in self.sizes.get()] if done else []
+            for k, (start, _, n, buys) in enumerate(ended, done + 1):
+                yield Row(user_id=key[0], visit=k, start=start, n=n, buys=buys, longest_before=max(sizes, default=None))
+                sizes = [*sizes, n][-self.kept :]
+            self.closed.update((done + len(ended),))
             self.sizes.put([(x,) for x in sizes])
-            yield pd.DataFrame(out, columns=["user_id", "visit", "start", "n", "buys", "longest_before"]).astype({"longest_before": "Int64"})
 
     def close(self) -> None:
         pass

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import Row
+
 from sparkloom.session import new_folder
-from sparkloom.streaming.events import rocks, visits
+from sparkloom.streaming.events import Visits, rocks, visits
 
 
 def test_visits_out_of_order(spark):
@@ -39,3 +41,73 @@ def test_visits_out_of_order(spark):
         want |= {(user, k + 1, v[0], v[2], v[3], max((x[2] for x in closed[max(0, k - 2) : k]), default=None)) for k, v in enumerate(closed)}
     got = [tuple(r) for r in spark.read.parquet(f"{out}/rows").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_visit_that_ends_at_the_watermark(spark):
+    """Closed when the watermark is at its end, not a millisecond earlier; a visit that waits is closed later, once."""
+    gap, start = 6 * 3_600_000_000, 1_700_000_000_000_000
+    parts = [[(1, start, "view"), (2, start + 1000, "purchase"), (9, start + gap, "view")], [(9, start + gap + 1000, "view")], [(9, start + 100 * gap, "view")]]
+    folder, out, kind = new_folder(spark), new_folder(spark), "user_id long, us long, event_type string"
+    spark.createDataFrame([], kind).write.parquet(folder)
+    seen = []
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(kind).parquet(folder).selectExpr("user_id", "timestamp_micros(us) AS ts", "event_type")
+        with rocks(spark):
+            query = visits(stream, gap // 1000, delay="0 seconds").writeStream.outputMode("append").trigger(availableNow=True)
+            query.option("checkpointLocation", f"{out}/offsets").format("parquet").option("path", f"{out}/rows").start().awaitTermination()
+        seen.append(sorted(r.user_id for r in spark.read.schema("user_id long").parquet(f"{out}/rows").collect()))
+    assert seen == [[1], [1, 2], [1, 2, 9]]
+
+
+class Cell:
+    """A value or list of the state in memory; calls are counted."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return self.held if not isinstance(self.held, list) else iter(self.held)
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getValueState(self, name, schema):
+        return Cell(self.calls)
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("timer")
+        self.timers.discard(at)
+
+
+def test_calls_to_the_state_do_not_grow_with_visits():
+    handle, gap, n = Handle(), 1000, 5000
+    processor = Visits(gap, 3, buffer=64)
+    processor.init(handle)
+    rows = [Row(us=k * 10_000_000 + 1000 * j, buy=j == 0) for k in range(n) for j in range(2)]
+    random.Random(1).shuffle(rows)
+    now = lambda ms: type("Now", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    list(processor.handleInputRows((7,), iter(rows[: n // 2]), now(0)))
+    list(processor.handleInputRows((7,), iter(rows[n // 2 :]), now(0)))
+    assert len(handle.timers) == 1
+    got = list(processor.handleExpiredTimer((7,), now(10**12), None))
+    assert [(r.visit, r.start, r.n, r.buys, r.longest_before) for r in got] == [(k + 1, k * 10_000_000, 2, 1, 2 if k else None) for k in range(n)]
+    assert len(handle.calls) < 20
