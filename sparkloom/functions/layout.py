@@ -103,7 +103,11 @@ def compare_pages(before: DataFrame, after: DataFrame) -> DataFrame:
     A page on one side only has ``paired`` false. The order of visible spans counts.
     """
     b, a = before.alias("b"), after.alias("a")
-    joined = b.join(a, (F.col("b.doc") == F.col("a.doc")) & (F.col("b.page") == F.col("a.page")), "full")
+    return page_checks(b.join(a, (F.col("b.doc") == F.col("a.doc")) & (F.col("b.page") == F.col("a.page")), "full"))
+
+
+def page_checks(joined: DataFrame, *more: str) -> DataFrame:
+    """The checks of ``compare_pages`` where both pages stand in one row, as ``b`` and ``a``, and columns ``more`` of it."""
     yes = lambda c: F.coalesce(c, F.lit(False))
     return joined.select(
         F.coalesce("b.doc", "a.doc").alias("doc"),
@@ -113,6 +117,7 @@ def compare_pages(before: DataFrame, after: DataFrame) -> DataFrame:
         yes(visible_signature(F.col("b.spans")) == visible_signature(F.col("a.spans"))).alias("same_visible"),
         yes(~has_color(F.col("a.spans"))).alias("hidden_gone"),
         yes(F.col("b.links") == F.col("a.links")).alias("same_links"),
+        *more,
     )
 
 
@@ -142,3 +147,16 @@ def outside_boxes(points: DataFrame, boxes: DataFrame, pad: float = 2.0, cell: i
     p, b = points.withColumn("cx", down(F.col("x"))).withColumn("cy", down(F.col("y"))).alias("p"), dealt.alias("b")
     inside = [F.col(f"p.{k}") == F.col(f"b.{k}") for k in ("doc", "page", "cx", "cy")] + [F.col("p.x") >= F.col("b.x0"), F.col("p.x") < F.col("b.x1"), F.col("p.y") >= F.col("b.y0"), F.col("p.y") < F.col("b.y1")]
     return p.join(b, inside, "left_anti").drop("cx", "cy")
+
+
+def changed_places(old: Column, new: Column) -> Column:
+    """Places from 0 at which two arrays of pixels differ, as far as the shorter goes."""
+    size = F.least(F.size(old), F.size(new))
+    return F.when((size > 0) & ~old.eqNullSafe(new), F.filter(F.sequence(F.lit(0), size - 1), lambda i: ~F.get(old, i).eqNullSafe(F.get(new, i)))).otherwise(F.array().cast("array<int>"))
+
+
+def places_outside(places: Column, width: Column, boxes: Column, pad: float = 2.0) -> Column:
+    """The places of a page that lie in none of its boxes (x0, y0, x1, y1), widened by ``pad``."""
+    x, y = lambda i: F.pmod(i, width), lambda i: F.floor(i / width)
+    holds = lambda b, i: (x(i) >= b["x0"] - pad) & (x(i) < b["x1"] + pad) & (y(i) >= b["y0"] - pad) & (y(i) < b["y1"] + pad)
+    return F.filter(places, lambda i: ~F.exists(boxes, lambda b: F.coalesce(holds(b, i), F.lit(False))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.layout import OVERLAY_OPERATORS, OVERLAY_SIZE, changed_pixels, compare_pages, near, outside_boxes, shaded
+from sparkloom.functions.layout import OVERLAY_OPERATORS, OVERLAY_SIZE, changed_pixels, changed_places, compare_pages, near, outside_boxes, page_checks, places_outside, shaded
 from sparkloom.operators.ordered import match_brackets, outside_intervals, running_sums
 from sparkloom.session import stored
 from sparkloom.sources.writers import report
@@ -61,7 +61,21 @@ def verified_report(ops: DataFrame, before: DataFrame, after: DataFrame, boxes:
     changed = pixels.groupBy(*PAGE).agg(F.count("*").alias("changed_pixels"))
     stray = outside_boxes(pixels, boxes, pad).groupBy(*PAGE).agg(F.count("*").alias("stray_pixels"))
     checks = compare_pages(before, after).join(removed_groups(ops, groups=groups), PAGE, "left").join(changed, PAGE, "left").join(stray, PAGE, "left")
-    checks = checks.fillna(0, ["removed", "changed_pixels", "stray_pixels"])
+    return checks_report(checks.fillna(0, ["removed", "changed_pixels", "stray_pixels"]))
+
+
+def row_report(pages: DataFrame, pad: float = 2.0) -> DataFrame:
+    """The same report from pages that stand in a row each before and after: doc, page, removed, structs ``b`` and ``a``, and ``boxes``.
+
+    Nothing is joined, so only the checks of a page are shuffled, not its pixels.
+    """
+    changed = pages.withColumn("_places", changed_places(F.col("b.pixels"), F.col("a.pixels")))
+    stray = F.size(places_outside(F.col("_places"), F.col("b.width"), F.col("boxes"), pad)).cast("long")
+    counted = changed.select("b", "a", F.col("removed").cast("long").alias("removed"), F.size("_places").cast("long").alias("changed_pixels"), stray.alias("stray_pixels"))
+    return checks_report(page_checks(counted, "removed", "changed_pixels", "stray_pixels"))
+
+
+def checks_report(checks: DataFrame) -> DataFrame:
     passed = F.col("paired") & F.col("same_geometry") & F.col("same_visible") & F.col("hidden_gone") & F.col("same_links") & (F.col("stray_pixels") == 0)
     rows = checks.select(*PAGE, "removed", "changed_pixels", "stray_pixels", passed.alias("passed"), F.when(passed, 0).otherwise(1).alias("failed"))
     return report(rows, "doc", "page", ["removed", "changed_pixels", "stray_pixels", "failed"])
